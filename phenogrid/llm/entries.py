@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import decontaminate
+from phenogrid.llm import decontaminate, token_counts, token_files
 
 QUERIES = {
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_token_files": token_files.op9_token_files,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
