@@ -1,24 +1,33 @@
 """Exact byte-level BPE through pre-tokens: a text's ids are those of its pre-tokens, one after another.
 
-Byte-level BPE never merges across pre-tokens, so what a pre-token encodes to can be looked up. Each
-Python worker keeps a bounded cache; what it misses, the tokenizers library encodes.
+Byte-level BPE never merges across pre-tokens, so what a pre-token encodes to can be looked up. No
+pre-token reaches from a word into the space after it either, so words between single spaces can be
+looked up first. Both caches are bounded and live as long as their Python worker; what they miss, the
+tokenizers library encodes.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import sys
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
 
-#: Pre-tokens that a worker's cache holds at most; a full cache starts again from its first entries.
-CACHE_ENTRIES = 400_000
+#: Entries that a worker's cache of words holds at most, and that of pre-tokens half of it; a full one starts again from its first entries.
+CACHE_ENTRIES = 500_000
 
-#: The byte-level pre-tokenizer's published pattern.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Of the characters up to here, this module and the library agree on what is a letter, a number or a space whatever Unicode version either uses.
+_LAST_PLAIN = 0x24F
+_PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-‾€]*")
 
-# Of these characters, this pattern and the library agree on what is a letter, a number or a space whatever Unicode version either uses.
-_PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-ȳ‐-‧‰-‾€]*")
+
+def _even(text: str) -> bool:
+    """Whether all white space is one space or one line end between two words."""
+    doubled = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace()
+    return not doubled and len(text.split()) == text.count(" ") + text.count("\n") + 1
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,32 +36,61 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _class(kind: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(_LAST_PLAIN + 1)) if unicodedata.category(c)[0] == kind)
+
+
+def _pattern() -> re.Pattern:
+    """The byte-level pre-tokenizer's published pattern, for plain characters."""
+    letter, number = _class("L"), _class("N")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\\s{letter}{number}]+|\\s+(?!\\S)|\\s+")
+
+
+class _Cache(dict):
+    def __init__(self, make: Callable[[str], object], first: dict, limit: int):
+        super().__init__(first)
+        self.make, self.first, self.limit = make, first, limit
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(self) >= self.limit:
+            self.clear()
+            self.update(self.first)
+        self[key] = value
+        return value
+
+
 class PretokenCoder:
-    """Encodes texts with the tokenizer at `path`; keep() makes what the cache holds of a list of ids."""
+    """Encodes texts with the tokenizer at `path`.
 
-    def __init__(self, path: str, keep: Callable[[list[int]], object], first: dict | None = None, cache_entries: int = CACHE_ENTRIES):
-        import regex
+    keep(ids) makes what is kept of a pre-token's ids, and combine(values) what a text's pre-tokens come to.
+    """
+
+    def __init__(self, path: str, keep: Callable[[list[int]], object], combine: Callable[[Iterable], object], first: dict | None = None, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.keep, self.first, self.limit = keep, first or {}, cache_entries
-        self.cache = dict(self.first)
+        self.keep, self.combine = keep, combine
         kind = json.loads(self.tokenizer.to_str())
-        step = kind.get("pre_tokenizer") or {}
-        added = kind.get("added_tokens") or []
+        step, added = kind.get("pre_tokenizer") or {}, kind.get("added_tokens") or []
         plain_steps = kind.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
-        plain_added = not any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added)
+        plain_added = not any(a["single_word"] or a["lstrip"] or a["rstrip"] or re.search(r"\s", a["content"]) for a in added)
         self.by_pretoken = bool(plain_steps and plain_added)
-        self.findall = regex.compile(_SPLIT).findall
-        names = sorted((a["content"] for a in added), key=len, reverse=True)
+        self.added = {a["content"]: a["id"] for a in added}
+        names = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.findall = _pattern().findall
+        self.tokenize = self.tokenizer.model.tokenize
+        alphabet = [c for c in range(256) if chr(c).isprintable() and c not in (0x20, 0xA0, 0xAD)]
+        others = [c for c in range(256) if c not in set(alphabet)]
+        self.byte_names = {c: chr(c) for c in alphabet} | {c: chr(256 + k) for k, c in enumerate(others)}
+        self.pieces = _Cache(self._encode, first or {}, entries // 2)
+        self.words = _Cache(self._word, {}, entries)
 
     def pretokens(self, text: str) -> list[str]:
-        """The text's pre-tokens and special tokens in order; the whole text where it can't be split."""
-        if not self.by_pretoken:
-            return [text] if text else []
+        """The text's pre-tokens and special tokens in order."""
         parts = self.special.split(text) if self.special else [text]
         if len(parts) == 1:
             return self._plain(text)
@@ -66,31 +104,36 @@ class PretokenCoder:
             return self.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def look_up(self, texts: Iterable[str | None]) -> list[list]:
-        """For each text, what the cache holds of its pre-tokens."""
-        split = [self.pretokens(t) if t else [] for t in texts]
-        cache = self.cache
-        missing = set().union(*split)
-        missing.difference_update(cache)
-        if missing:
-            if len(cache) + len(missing) > self.limit:
-                self.cache = cache = dict(self.first)
-                missing = set().union(*split)
-                missing.difference_update(cache)
-            new = list(missing)
-            for at in range(0, len(new), 4096):
-                block = new[at : at + 4096]
-                for piece, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                    cache[piece] = self.keep(e.ids)
-        get = cache.__getitem__
-        return [list(map(get, pieces)) for pieces in split]
+    def _encode(self, piece: str):
+        if piece in self.added:
+            return self.keep([self.added[piece]])
+        return self.keep([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.byte_names))])
+
+    def _word(self, word: str):
+        text = word if word[0] == "\n" else " " + word
+        return self.combine(map(self.pieces.__getitem__, self.pretokens(text)))
+
+    def __call__(self, text: str | None):
+        if not text:
+            return self.combine(())
+        if not self.by_pretoken:
+            return self.keep(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if not _even(text):
+            return self.combine(map(self.pieces.__getitem__, self.pretokens(text)))
+        words = text.replace("\n", " \n").split(" ")
+        head = self.combine(map(self.pieces.__getitem__, self.pretokens(words[0])))
+        return self.combine((head, *map(self.words.__getitem__, words[1:])))
 
 
 def id_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    import sys
-
     a = array("I", ids)
     if sys.byteorder == "big":
         a.byteswap()
     return a.tobytes()
+
+
+@functools.lru_cache(maxsize=2)
+def byte_coder(path: str) -> PretokenCoder:
+    """This worker's coder from texts to the bytes of their ids."""
+    return PretokenCoder(path, id_bytes, b"".join)

@@ -35,7 +35,7 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_documents
     some = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null").sample(min(1.0, sample_documents / n), seed=7).limit(2 * sample_documents)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, seen = PretokenCoder(path, len), Counter()
+        coder, seen = PretokenCoder(path, len, sum), Counter()
         for part in parts:
             for t in part["t"]:
                 seen.update(coder.pretokens(t))
@@ -45,10 +45,20 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_documents
     seen: Counter = Counter()
     for row in some.mapInPandas(count, "piece string, n long").toLocalIterator():
         seen[row.piece] += row.n
-    coder = PretokenCoder(path, len)
-    pieces = [p for p, _ in seen.most_common(entries)]
-    coder.look_up(pieces)
-    return {p: coder.cache[p] for p in pieces if p in coder.cache}
+    lengths = PretokenCoder(path, len, sum).pieces
+    return {p: lengths[p] for p, _ in seen.most_common(entries)}
+
+
+_coders: dict[tuple, PretokenCoder] = {}
+
+
+def _coder(path: str, first) -> PretokenCoder:
+    """This worker's coder; it outlives a task, so that its cache serves the next one."""
+    key = (path, first.id if hasattr(first, "id") else id(first))
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = PretokenCoder(path, len, sum, first.value)
+    return _coders[key]
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None, result_col: str = "n_tokens", sample_documents: int = SAMPLE_DOCUMENTS, entries: int = TABLE_ENTRIES) -> DataFrame:
@@ -58,9 +68,9 @@ def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = Non
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = PretokenCoder(path, len, shared.value)
+        coder = _coder(path, shared)
         for texts in parts:
-            yield pd.Series([sum(x) for x in coder.look_up(texts)], dtype="int64")
+            yield pd.Series(list(map(coder, texts)), dtype="int64")
 
     return docs.withColumn(result_col, count(F.col(text_col).cast("string")))
 

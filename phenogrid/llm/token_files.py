@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenogrid.llm.common import new_folder, small_batches, table
-from phenogrid.llm.pretokens import PretokenCoder, default_path, id_bytes
+from phenogrid.llm.pretokens import byte_coder, default_path, id_bytes
 
 END_ID = 2
+#: Shards whose starts are broadcast at most: 12 bytes each.
+BROADCAST_SHARDS = 1_000_000
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 
 
@@ -33,10 +35,10 @@ def encode_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = path or default_path()
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard, start = PretokenCoder(path, id_bytes), TaskContext.get().partitionId(), 0
+        coder, shard, start = byte_coder(path), TaskContext.get().partitionId(), 0
         end = id_bytes([end_id])
         for part in parts:
-            rows = [b"".join(x) + end for x in coder.look_up(part.column("text").to_pylist())]
+            rows = [coder(t) + end for t in part.column("text").to_pylist()]
             sizes = np.array([len(r) // 4 for r in rows], np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
@@ -64,7 +66,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         offsets.append((r.shard, at))
         at += r.n
     starts = spark.createDataFrame(offsets, "shard int, shard_from long")
-    return rows.join(starts, "shard").select("doc_id", (F.col("shard_from") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
+    # A row for each file: where files are so many that this isn't small, the join shuffles instead.
+    return rows.join(F.broadcast(starts) if len(offsets) <= BROADCAST_SHARDS else starts, "shard").select("doc_id", (F.col("shard_from") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
 
 
 @F.arrow_udf("long")
