@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import decontaminate, near_dedup, token_counts, token_files
+from phenogrid.llm import decontaminate, near_dedup, token_counts, token_files, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_token_files": token_files.op9_token_files,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc": warc.SQL,
+}
