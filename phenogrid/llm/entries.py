@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import decontaminate, near_dedup, token_counts, token_files, warc
+from phenogrid.llm import ann, decontaminate, near_dedup, token_counts, token_files, warc
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op3_warc": warc.op3_warc,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
