@@ -2,8 +2,8 @@
 
 Only which nodes hang together is wanted, so pairs inside a group that is known already need no look.
 First each bucket's members are compared with one member of it, for a few rounds with another one
-each; then whatever still lies in one bucket but in different groups is compared in full, which is
-the exact way for what the stars missed.
+each; then whatever still lies in one bucket but in different groups is compared by keys of which a
+linked pair must share one, which is the exact way for what the stars missed.
 """
 
 from __future__ import annotations
@@ -13,48 +13,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import forget, written
+from phenogrid.llm.common import written
 from phenogrid.llm.components import connected_components
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible=None, star_rounds: int = 3, tag: str = "link") -> DataFrame:
+def cross_pairs(keyed: DataFrame, may, also=None) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share a key but not a component.
+
+    keyed: (key, node, n, component, ...). The largest component of a key is only paired with the
+    others, so that one that holds most rows of a key isn't paired with itself. also(left, right) is
+    a further condition on the columns of both sides, named with the suffixes _x and _y.
+    """
+    size = keyed.groupBy("key", "component").count()
+    largest = size.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    tagged = keyed.join(largest, "key")
+    named = lambda df, s: df.select("key", *[F.col(c).alias(c + s) for c in df.columns if c != "key"])
+    few, every = named(tagged.where("component <> largest"), "_x"), named(tagged, "_y")
+    condition = (F.col("component_x") != F.col("component_y")) & may(F.col("n_x"), F.col("n_y"))
+    both = few.join(every, "key").where(condition if also is None else condition & also)
+    return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], may, star_rounds: int = 3, tag: str = "link") -> DataFrame:
     """(node, component) for the nodes with a verified link.
 
     members: (bucket, node, n), the buckets with at least two members; verify keeps the true links of
-    distinct pairs (a, b), a < b; compatible(n, other n) is an exact bound that rules pairs out.
+    distinct pairs (a, b), a < b; may(n, other n) is an exact bound that rules pairs out; rest gives
+    the pairs to compare in the end of (bucket, node, n, component), the buckets of several components.
     """
-    may = compatible or (lambda x, y: F.lit(True))
-    links = groups = None
+    links = groups = done = None
 
     def labelled() -> DataFrame:
         if groups is None:
             return members.withColumn("component", F.col("node"))
         return members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def pairs_of(left: DataFrame) -> DataFrame:
-        return left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    done: DataFrame | None = None
     for turn in range(star_rounds + 1):
         now = labelled()
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("node", "n", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("rep")).where("lo <> hi")
+        star = F.min_by(F.struct("node", "n", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("rep")
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), star).where("lo <> hi")
         if turn < star_rounds:
             joined = now.join(mixed.select("bucket", "rep"), "bucket").where((F.col("component") != F.col("rep.component")) & may(F.col("n"), F.col("rep.n")))
-            pairs = pairs_of(joined.select(F.col("node").alias("x"), F.col("rep.node").alias("y")))
+            pairs = joined.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b")).distinct()
         else:
-            size = now.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("bucket", "component").count()
-            largest = size.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-            tagged = now.join(largest, "bucket")
-            few = tagged.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-            every = tagged.select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-            pairs = pairs_of(few.join(every, "bucket").where((F.col("cx") != F.col("cy")) & may(F.col("nx"), F.col("ny"))))
+            pairs = rest(now.join(mixed.select("bucket"), "bucket", "left_semi"))
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(pairs, f"{tag}-pairs")
         if pairs.isEmpty():
-            if turn < star_rounds:
-                continue
-            break
+            continue
         found = written(verify(pairs), f"{tag}-links")
         done = pairs if done is None else done.unionByName(pairs)
         if not found.isEmpty():

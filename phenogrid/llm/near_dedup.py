@@ -9,8 +9,10 @@ Signatures are cut into bands; documents that share a band are candidates; candi
 on their full shingle sets, and groups are the connected components of confirmed links.
 
 Documents with one and the same shingle set are one node throughout. A node is compared with one
-member of each of its buckets first, and in full only with those that are in another group by then
-(see linking), so that a large group of copies costs what its size is, not its square.
+member of each of its buckets at a time (see linking). What then still shares a bucket but no group is
+compared if it shares one of its rarest shingles: of two sets as similar as asked for, each has one of
+the other's shingles among so many of its own as the other may lack, and one more, whatever the order
+of shingles. So a large group of copies costs what its size is, not its square.
 
 Defined cases: null, empty and word-less texts have no shingles and are linked with nothing; rows
 with a null id take no part and have no component, but are kept; rows that share an id are one node,
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenogrid.llm.common import small_batches, table, written
-from phenogrid.llm.linking import link_buckets
+from phenogrid.llm.linking import cross_pairs, link_buckets
 from phenogrid.llm.shingles import mix, shingle_set, word_hashes
 
 POSITIONS = 256
@@ -141,7 +143,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    groups = link_buckets(members, verify, lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y), tag="near")
+    def may(x, y):
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    def rest(still: DataFrame) -> DataFrame:
+        nodes = still.select("node", "n", "component").distinct()
+        one = sets.join(nodes, "node").select("node", "n", "component", F.explode("shingles").alias("key"))
+        common = one.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+        # Shingles of one node alone come first in the order and match nothing, so their number is enough.
+        shared = one.join(common, "key").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+        spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("keys"))
+        first = shared.where(spare > 0).select("node", "n", "component", F.explode(F.slice("keys", F.lit(1), spare.cast("int"))).alias("k"))
+        return cross_pairs(first.select(F.col("k.key").alias("key"), "node", "n", "component"), may)
+
+    groups = link_buckets(members, verify, rest, may, tag="near")
     labels = nodes.select("fingerprint", "node").join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group"))
     out = signed.select("doc_id", "n_shingles", "fingerprint").join(labels, "fingerprint", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
