@@ -23,11 +23,12 @@ CACHE_ENTRIES = 500_000
 _LAST_PLAIN = 0x24F
 _PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-‾€]*")
 
+# Marks a text's first word, which no space precedes; it can't occur in a text.
+_START = "\udc00"
 
-def _even(text: str) -> bool:
-    """Whether all white space is one space or one line end between two words."""
-    doubled = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace()
-    return not doubled and len(text.split()) == text.count(" ") + text.count("\n") + 1
+
+class _Uneven(Exception):
+    """A word has white space about it that isn't one space or one line end."""
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -91,11 +92,10 @@ class PretokenCoder:
 
     def pretokens(self, text: str) -> list[str]:
         """The text's pre-tokens and special tokens in order."""
-        parts = self.special.split(text) if self.special else [text]
-        if len(parts) == 1:
+        if not any(name in text for name in self.added):
             return self._plain(text)
         out: list[str] = []
-        for i, part in enumerate(parts):
+        for i, part in enumerate(self.special.split(text)):
             out += [part] if i % 2 else self._plain(part)
         return out
 
@@ -107,10 +107,23 @@ class PretokenCoder:
     def _encode(self, piece: str):
         if piece in self.added:
             return self.keep([self.added[piece]])
-        return self.keep([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.byte_names))])
+        if piece.isascii() and piece.isprintable():
+            named = piece.replace(" ", self.byte_names[0x20])
+        else:
+            named = piece.encode().decode("latin-1").translate(self.byte_names)
+        return self.keep([t.id for t in self.tokenize(named)])
 
     def _word(self, word: str):
-        text = word if word[0] == "\n" else " " + word
+        if word.isalpha() and _PLAIN.fullmatch(word):
+            return self._encode(" " + word)  # a pre-token by itself
+        if word[0] == _START:
+            text = bare = word[1:]
+        elif word[0] == "\n":
+            text, bare = word, word[1:]
+        else:
+            text, bare = " " + word, word
+        if len(bare.split()) != 1 or bare[0].isspace() or bare[-1].isspace():
+            raise _Uneven
         return self.combine(map(self.pieces.__getitem__, self.pretokens(text)))
 
     def __call__(self, text: str | None):
@@ -118,11 +131,14 @@ class PretokenCoder:
             return self.combine(())
         if not self.by_pretoken:
             return self.keep(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if not _even(text):
-            return self.combine(map(self.pieces.__getitem__, self.pretokens(text)))
         words = text.replace("\n", " \n").split(" ")
-        head = self.combine(map(self.pieces.__getitem__, self.pretokens(words[0])))
-        return self.combine((head, *map(self.words.__getitem__, words[1:])))
+        words[0] = _START + words[0]
+        if "" not in words:
+            try:
+                return self.combine(map(self.words.__getitem__, words))
+            except _Uneven:
+                pass
+        return self.combine(map(self.pieces.__getitem__, self.pretokens(text)))
 
 
 def id_bytes(ids: list[int]) -> bytes:

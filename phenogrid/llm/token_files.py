@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phenogrid.llm.common import new_folder, small_batches, table
 from phenogrid.llm.pretokens import byte_coder, default_path, id_bytes
@@ -70,7 +71,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(F.broadcast(starts) if len(offsets) <= BROADCAST_SHARDS else starts, "shard").select("doc_id", (F.col("shard_from") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def ids_crc32(ids: pa.Array) -> pa.Array:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     data = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
