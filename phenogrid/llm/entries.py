@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import ann, decontaminate, language_id, near_dedup, token_counts, token_files, warc
+from phenogrid.llm import ann, decontaminate, language_id, mixing, near_dedup, token_counts, token_files, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op3_warc": warc.op3_warc,
     "op4_language_id": language_id.op4_language_id,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op7_mixing": mixing.op7_mixing,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_token_files": token_files.op9_token_files,
     "op10_decontaminate": decontaminate.op10_decontaminate,

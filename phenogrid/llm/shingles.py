@@ -57,8 +57,11 @@ def _pieces(data: bytes) -> list[bytes]:
     return [*out, data[at:]]
 
 
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """For each text, a hash of each word ([^\\x20\\x09-\\x0D]+ after lower-casing A-Z) in order."""
+def word_hashes(texts: list[str | None], fold: bytes | None = None) -> list[np.ndarray]:
+    """For each text, a hash of each word ([^\\x20\\x09-\\x0D]+ after lower-casing A-Z) in order.
+
+    fold maps the lower-cased text's bytes before it is split.
+    """
     out: list[np.ndarray] = []
     group: list[bytes] = []
     size = 0
@@ -75,6 +78,8 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
 
     for t in texts:
         data = (t or "").encode().lower()
+        if fold:
+            data = data.translate(fold)
         if len(data) > _PIECE:
             flush()
             out.append(np.concatenate([_hash_words(p)[0] for p in _pieces(data)]))
