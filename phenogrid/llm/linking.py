@@ -34,7 +34,7 @@ def cross_pairs(keyed: DataFrame, may, also=None) -> DataFrame:
     return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], may, star_rounds: int = 3, tag: str = "link") -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], may, star_rounds: int = 2, tag: str = "link") -> DataFrame:
     """(node, component) for the nodes with a verified link.
 
     members: (bucket, node, n), the buckets with at least two members; verify keeps the true links of

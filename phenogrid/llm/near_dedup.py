@@ -12,7 +12,7 @@ Documents with one and the same shingle set are one node throughout. A node is c
 member of each of its buckets at a time (see linking). What then still shares a bucket but no group is
 compared if it shares one of its rarest shingles: of two sets as similar as asked for, each has one of
 the other's shingles among so many of its own as the other may lack, and one more, whatever the order
-of shingles. So a large group of copies costs what its size is, not its square.
+of shingles, and after the first that they share enough must be left. So a large group of copies costs what its size is, not its square.
 
 Defined cases: null, empty and word-less texts have no shingles and are linked with nothing; rows
 with a null id take no part and have no component, but are kept; rows that share an id are one node,
@@ -153,8 +153,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
         # Shingles of one node alone come first in the order and match nothing, so their number is enough.
         shared = one.join(common, "key").groupBy("node", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
         spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("keys"))
-        first = shared.where(spare > 0).select("node", "n", "component", F.explode(F.slice("keys", F.lit(1), spare.cast("int"))).alias("k"))
-        return cross_pairs(first.select(F.col("k.key").alias("key"), "node", "n", "component"), may)
+        first = shared.where(spare > 0).select("node", "n", "component", F.size("keys").alias("size"), F.posexplode(F.slice("keys", F.lit(1), spare.cast("int"))).alias("at", "k"))
+        placed = first.select(F.col("k.key").alias("key"), "node", "n", "component", (F.col("n") - F.col("size") + F.col("at") + 1).alias("place"))
+        # If this is the first shingle that two sets share, they share no more than come after it in either.
+        most = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+        return cross_pairs(placed, may, (100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
 
     groups = link_buckets(members, verify, rest, may, tag="near")
     labels = nodes.select("fingerprint", "node").join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("group"))
