@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import new_folder, small_batches, table
+from phenogrid.llm.common import new_folder, small_batches, table, written
 
 CRLF = "\r\n"
 #: Payloads of fewer bytes are never revisits.
@@ -154,7 +154,8 @@ def op3_warc(spark, sf_dir):
     small_batches(spark)
     folder = new_folder(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), folder)
-    captures = assemble(read_records(spark, folder, with_block=False))
+    # Parsed once: assembly reads the records several times over.
+    captures = assemble(written(read_records(spark, folder, with_block=False), "warc-records"))
     entries = F.map_from_entries(F.col("metadata")[0]["fields"])
     rows = captures.select("capture_id", entries["page-id"].cast("long").alias("page_id"), "response.*")
     responses = rows.where("type <> 'revisit'").select("page_id", "payload_bytes", F.col("payload_sha256").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
