@@ -83,13 +83,12 @@ def learn_domains(docs: DataFrame, domains: DataFrame, names: list[str], id_col:
     counts = {r.domain: r.n for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = min(1.0, per_domain / max(1, min(counts.values())))
     draw = F.pmod(F.xxhash64("id", F.lit("domain")), F.lit(1 << 30)) / float(1 << 30)
     most = F.create_map(*[F.lit(v) for d, n in counts.items() for v in (d, min(1.0, per_domain / n))])
     some = known.where(draw < F.element_at(most, F.col("domain")))
-    # No document beyond the largest share can be drawn, so its text needn't be moved.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(draw < share)
-    drawn = texts.join(some, "id").select("domain", hashed_words("text").alias("keys"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # About per_domain ids for each domain, so the drawn labels are a few hundred kB at most.
+    drawn = texts.join(F.broadcast(some), "id").select("domain", hashed_words("text").alias("keys"))
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         y = np.array([names.index(d) for d in part["domain"]])
@@ -121,35 +120,50 @@ def posteriors(docs: DataFrame, weights: np.ndarray | None, classes: int, text_c
     return docs.withColumn(result_col, predict(F.col(text_col).cast("string")))
 
 
-def fit_rates(rows: DataFrame, targets: list[float | None], tokens: str = "tokens", posterior: str = "posterior", result_col: str = "rate") -> DataFrame:
-    """rows with a nonnegative rate; targets are tokens of each domain, None for as many as it has."""
+def rate_of(posterior: Column, pulls: list[list[float]]) -> Column:
+    """The rate after all steps: one, less at each step what the document's posterior makes of the pulls, never below zero."""
+    if not pulls:
+        return F.lit(1.0)
+    steps = F.array(*[F.array(*[F.lit(float(v)) for v in pull]) for pull in pulls])
+
+    def step(x: Column, pull: Column) -> Column:
+        return F.greatest(F.lit(0.0), x - sum((posterior[d] * pull[d] for d in range(len(pulls[0]))), F.lit(0.0)))
+
+    return F.aggregate(steps, F.lit(1.0), step)
+
+
+def fit_rates(rows: DataFrame, targets: list[float | None], tokens: str = "n_tokens", posterior: str = "posterior") -> list[list[float]]:
+    """The steps that rate_of() takes; targets are tokens of each domain, None for as many as it has.
+
+    Only tokens and posteriors are read, and every few steps written with the rates so far.
+    """
     k = len(targets)
     p = [F.element_at(posterior, d + 1) for d in range(k)]
-    sums = rows.agg(*[F.coalesce(F.sum(F.col(tokens) * p[d]), F.lit(0.0)).alias(f"n{d}") for d in range(k)], *[F.coalesce(F.sum(F.col(tokens) * p[a] * p[b]), F.lit(0.0)).alias(f"m{a}_{b}") for a in range(k) for b in range(k)]).first()
+    base = rows.select(tokens, posterior)
+    sums = base.agg(*[F.coalesce(F.sum(F.col(tokens) * p[d]), F.lit(0.0)).alias(f"n{d}") for d in range(k)], *[F.coalesce(F.sum(F.col(tokens) * p[a] * p[b]), F.lit(0.0)).alias(f"m{a}_{b}") for a in range(k) for b in range(k)]).first()
     has = np.array([sums[f"n{d}"] for d in range(k)])
     want = np.array([has[d] if targets[d] is None else targets[d] for d in range(k)])
     scale = 1 / np.sqrt(np.maximum(has, 1.0))  # shortfalls count relative to what a domain has
     gram = np.array([[sums[f"m{a}_{b}"] for b in range(k)] for a in range(k)]) * scale[:, None] * scale[None, :]
     step = 1 / max(float(np.linalg.eigvalsh(gram).max()), 1e-12)
-    x, got, base, since = F.lit(1.0), has, rows, 0
+    x, got, pulls, old = F.lit(1.0), has, [], None
     enough = TOLERANCE * max(1.0, float(want.sum()))
-    for _ in range(MOST_STEPS):
-        if np.abs(got - want).max() <= enough:
-            break
+    while len(pulls) < MOST_STEPS and np.abs(got - want).max() > enough:
         pull = step * (got - want) * scale * scale
+        pulls.append([float(v) for v in pull])
         x = F.greatest(F.lit(0.0), x - sum((p[d] * float(pull[d]) for d in range(k)), F.lit(0.0)))
-        since += 1
-        if since == STEPS_A_TABLE:
-            old, base, since = base, written(base.withColumn(result_col, x), "mix"), 0
-            if old is not rows:
+        if len(pulls) % STEPS_A_TABLE == 0:
+            base = written(base.select(tokens, posterior, x.alias("_rate")), "mix-rates")
+            x = F.col("_rate")
+            if old is not None:
                 forget(old)
-            x = F.col(result_col)
-        new = base.agg(*[F.coalesce(F.sum(F.col(tokens) * p[d] * x), F.lit(0.0)).alias(f"n{d}") for d in range(k)]).first()
-        new = np.array(list(new))
-        if np.abs(new - got).max() <= enough / 100:
-            break
+            old = base
+        new = np.array(list(base.agg(*[F.coalesce(F.sum(F.col(tokens) * p[d] * x), F.lit(0.0)).alias(f"n{d}") for d in range(k)]).first()))
+        settled = np.abs(new - got).max() <= enough / 100
         got = new
-    return base.withColumn(result_col, x)
+        if settled:
+            break
+    return pulls
 
 
 def copies(rate: Column, id_col: str, rounding: str) -> Column:
@@ -159,16 +173,17 @@ def copies(rate: Column, id_col: str, rounding: str) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(id_col, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30))
 
 
-def mix(docs: DataFrame, domains: DataFrame, weights: dict[str, float | None], id_col: str = "doc_id", text_col: str = "text", rounding: str = "hash", budget: float | None = None, per_domain: int = LABELLED_PER_DOMAIN) -> DataFrame:
-    """docs with n_tokens, posterior, rate and copies. weights: each domain's share of the budget, which
-    is all tokens unless given, or None for the tokens that it is expected to have."""
+def mix(docs: DataFrame, domains: DataFrame, weights: dict[str, float | None], id_col: str = "doc_id", text_col: str = "text", rounding: str = "hash", budget: float | None = None, per_domain: int = LABELLED_PER_DOMAIN, keep: list[str] | None = None) -> DataFrame:
+    """docs, or their columns `keep`, with n_tokens, posterior, rate and copies. weights: each domain's share
+    of the budget, which is all tokens unless given, or None for the tokens that it is expected to have."""
     names = list(weights)
     learned = learn_domains(docs, domains, names, id_col, text_col, per_domain)
     scored = posteriors(docs, learned, len(names), text_col)
-    scored = written(scored.select(*[F.col(c) for c in docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")], F.col("_mix.tokens").alias("n_tokens"), F.col("_mix.posterior").alias("posterior")), "mix")
+    scored = written(scored.select(*[F.col(c) for c in keep or docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")], F.col("_mix.tokens").alias("n_tokens"), F.col("_mix.posterior").alias("posterior")), "mix")
     if budget is None:
         budget = float(scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
-    rated = fit_rates(scored, [None if w is None else w * budget for w in weights.values()], tokens="n_tokens")
+    pulls = fit_rates(scored, [None if w is None else w * budget for w in weights.values()])
+    rated = scored.withColumn("rate", rate_of(F.col("posterior"), pulls))
     return rated.withColumn("copies", copies(F.col("rate"), id_col, rounding))
 
 
@@ -181,6 +196,6 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def op7_mixing(spark, sf_dir):
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mix(docs, label_domains(table(spark, sf_dir, "labels")), {"high": 0.7, "low": 0.3, "toxic": 0.0})
+    mixed = mix(docs, label_domains(table(spark, sf_dir, "labels")), {"high": 0.7, "low": 0.3, "toxic": 0.0}, keep=["doc_id"])
     p = [F.element_at("posterior", k + 1).alias(n) for k, n in enumerate(("p_high", "p_low", "p_toxic"))]
     return mixed.select("doc_id", "n_tokens", *p, "rate", "copies")
