@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import ann, decontaminate, language_id, mixing, near_dedup, token_counts, token_files, warc
+from phenogrid.llm import ann, decontaminate, language_id, line_dedup, lm_score, mixing, near_dedup, token_counts, token_files, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_warc": warc.op3_warc,
     "op4_language_id": language_id.op4_language_id,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_token_files": token_files.op9_token_files,
