@@ -1 +1 @@
-"""To be filled."""
+"""Column functions: names, statistics, argument checks."""

@@ -1 +1 @@
-"""To be filled."""
+"""Operators over predictions, importances and results."""

@@ -1 +1 @@
-"""To be filled."""
+"""Where data comes from and where results go."""
