@@ -41,9 +41,10 @@ def feature_improvement(top: DataFrame, clusters: DataFrame) -> DataFrame:
     rows = rows.withColumn("count_scales_for_cluster", F.size(kinds).cast("long")).withColumn("feature_types_csv", F.array_join(kinds, ",")).withColumn("lowest_contri", F.min("contribution").over(c)).withColumn("highest_contri", F.max("contribution").over(c))
     median("median_drug_or_class", "median_cluster", [*where, "cluster"])
     # Windows take no distinct counts, so these come by an aggregate.
-    counts = rows.groupBy(*where, "cluster").agg(F.countDistinct("variable").alias("count_features_for_cluster"))
-    on = [rows[k].eqNullSafe(counts[k]) for k in (*where, "cluster")]
-    return rows.join(counts, on).select(*[rows[c] for c in rows.columns], "count_features_for_cluster")
+    keys = [*where, "cluster"]
+    counts = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.countDistinct("variable").alias("count_features_for_cluster"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(counts, on).drop(*[f"_{k}" for k in keys])
 
 
 def ranked_features(top: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ cohort as (select group_type, drug_or_class, strat_value, genome_id,
   case when group_type like 'drug_class%' then case when max(case when phenotype = 'Resistant' then 1 else 0 end) = 1 then 'Resistant' when min(case when phenotype = 'Susceptible' then 1 else 0 end) = 1 then 'Susceptible' end
        else max(case when phenotype in {RS} then phenotype end) end as phenotype,
   max(case when phenotype = 'Resistant' then 1 else 0 end) as has_resistant, max(case when phenotype = 'Susceptible' then 1 else 0 end) as has_susceptible
-  from keys group by all),
+  from keys group by group_type, drug_or_class, strat_value, genome_id),
 allf as (select genome_id from gene_count intersect select genome_id from protein_count intersect select genome_id from struct),
 chosen as (select * from cohort where phenotype is not null and genome_id in (select genome_id from allf)),
 census as (select group_type, drug_or_class, strat_value, count(*) as n_genomes, sum(has_resistant) as n_resistant, sum(has_susceptible) as n_susceptible from chosen group by all),
