@@ -88,3 +88,19 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of a column as text, modulo a number."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make):
+    """What a Python worker keeps from task to task, made once; another key's makes room for it."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Called by tasks that keep nothing: a worker that served another operator before gives its cache back."""
+    _resident.clear()

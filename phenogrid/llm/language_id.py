@@ -24,10 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import crc_mod, small_batches, table
+from phenogrid.llm.common import crc_mod, release, small_batches, table
 
 #: Labelled texts per language that a machine learns from, at most.
-TEXTS_PER_LANGUAGE = 1500
+TEXTS_PER_LANGUAGE = 1000
 DIMENSIONS = 4096
 UNKNOWN = "und"
 
@@ -70,8 +70,7 @@ def features(text: str) -> np.ndarray:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 25, seed: int = 3) -> np.ndarray:
-    """Weights, bias last, of a linear SVM with squared hinge loss, by dual coordinate descent; y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of a linear SVM with squared hinge loss, by dual coordinate descent; y is 1 or -1. The last column is one, for the bias."""
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     diagonal = 1 / (2 * cost * share)
     square = (x * x).sum(axis=1) + diagonal
@@ -147,7 +146,10 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
     machines = labelled.sparkSession.createDataFrame(plan, "machine string, lang string, side int")
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([features(t) for t in part["text"]], np.float32).reshape(-1, DIMENSIONS)
+        release()
+        x = np.ones((len(part), DIMENSIONS + 1), np.float32)
+        for row, t in zip(x, part["text"], strict=True):
+            row[:-1] = features(t)
         w = train_svm(x, part["side"].to_numpy())
         return pd.DataFrame({"machine": [part["machine"].iloc[0]], "weights": [w.astype(float)]})
 
@@ -161,6 +163,7 @@ def identify(docs: DataFrame, machines: Machines | None, text_col: str = "text",
 
     @F.pandas_udf("lang string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         known = shared.value
         for texts in parts:
             out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)

@@ -1,7 +1,7 @@
 """From buckets of candidates to groups, without all pairs of a bucket.
 
 Only which nodes hang together is wanted, so pairs inside a group that is known already need no look.
-First each bucket's members are compared with one member of it, for a few rounds with another one
+First each bucket's members are compared with one member of it, or for a few rounds with another one
 each; then whatever still lies in one bucket but in different groups is compared by keys of which a
 linked pair must share one, which is the exact way for what the stars missed.
 """
@@ -34,7 +34,7 @@ def cross_pairs(keyed: DataFrame, may, also=None) -> DataFrame:
     return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], may, star_rounds: int = 2, tag: str = "link") -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], may, star_rounds: int = 1, tag: str = "link") -> DataFrame:
     """(node, component) for the nodes with a verified link.
 
     members: (bucket, node, n), the buckets with at least two members; verify keeps the true links of

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import crc_mod, forget, small_batches, table, written
+from phenogrid.llm.common import crc_mod, forget, release, small_batches, table, written
 from phenogrid.llm.shingles import word_hashes
 
 DEPTH = 5
@@ -106,6 +106,7 @@ def count_keys(docs: DataFrame, depth: int) -> DataFrame:
     """(key, n_all, n_train): grams and words in all and in training texts."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         gram, word = _Counter(), _Counter()
         for part in parts:
             texts, train = part.column("text").to_pylist(), part.column("train").to_numpy(zero_copy_only=False).astype(bool)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenogrid.llm.common import forget, small_batches, table, written
+from phenogrid.llm.common import forget, release, small_batches, table, written
 from phenogrid.llm.shingles import word_hashes
 
 #: Labelled documents of each domain that the classifier learns from, at most (about: they are drawn by a hash).
@@ -107,6 +107,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray | None, classes: int, text_c
 
     @F.pandas_udf("tokens long, posterior array<double>")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         w = shared.value
         for texts in parts:
             rows = word_keys(texts)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import small_batches, table, written
+from phenogrid.llm.common import release, small_batches, table, written
 from phenogrid.llm.linking import cross_pairs, link_buckets
 from phenogrid.llm.shingles import mix, shingle_set, word_hashes
 
@@ -98,6 +98,7 @@ def sign(docs: DataFrame, size: int, threshold: float, id_col: str = "doc_id", t
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release()
         for part in parts:
             counts, prints, keys = [], [], []
             for words in word_hashes(part.column("text").to_pylist()):
@@ -116,6 +117,7 @@ def sign(docs: DataFrame, size: int, threshold: float, id_col: str = "doc_id", t
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in parts:
             sets = [shingle_set(w, size).view(np.int64) for w in word_hashes(part.column("text").to_pylist())]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)

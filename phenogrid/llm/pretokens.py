@@ -8,7 +8,6 @@ tokenizers library encodes.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import sys
@@ -16,6 +15,8 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
 
+from phenogrid.llm.common import resident
+
 #: Entries that a worker's cache of words holds at most, and that of pre-tokens half of it; a full one starts again from its first entries.
 CACHE_ENTRIES = 500_000
 
@@ -149,7 +150,6 @@ def id_bytes(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-@functools.lru_cache(maxsize=2)
 def byte_coder(path: str) -> PretokenCoder:
     """This worker's coder from texts to the bytes of their ids."""
-    return PretokenCoder(path, id_bytes, b"".join)
+    return resident(("bytes", path), lambda: PretokenCoder(path, id_bytes, b"".join))

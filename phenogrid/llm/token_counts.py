@@ -12,6 +12,7 @@ column with the name of the result column is replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import small_batches, table
+from phenogrid.llm.common import resident, small_batches, table
 from phenogrid.llm.pretokens import PretokenCoder, default_path
 
 #: Documents of which the table of frequent pre-tokens is made, and its entries, both at most.
@@ -49,26 +50,20 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_documents
     return {p: lengths[p] for p, _ in seen.most_common(entries)}
 
 
-_coders: dict[tuple, PretokenCoder] = {}
-
-
-def _coder(path: str, first) -> PretokenCoder:
+def _coder(path: str, tag: str, first) -> PretokenCoder:
     """This worker's coder; it outlives a task, so that its cache serves the next one."""
-    key = (path, first.id if hasattr(first, "id") else id(first))
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = PretokenCoder(path, len, sum, first.value)
-    return _coders[key]
+    return resident(("lengths", path, tag), lambda: PretokenCoder(path, len, sum, first.value))
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None, result_col: str = "n_tokens", sample_documents: int = SAMPLE_DOCUMENTS, entries: int = TABLE_ENTRIES) -> DataFrame:
     """docs with the number of tokens of each text under the tokenizers file at `path`."""
     path = path or default_path()
+    tag = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text_col, path, sample_documents, entries))
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(path, shared)
+        coder = _coder(path, tag, shared)
         for texts in parts:
             yield pd.Series(list(map(coder, texts)), dtype="int64")
 
