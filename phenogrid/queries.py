@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenogrid.functions import codec, stats
-from phenogrid.operators import importance, metrics, rescore, views
-from phenogrid.plans import cohort, holdout, matrix
+from phenogrid.operators import importance, metrics, model, rescore, views
+from phenogrid.plans import cohort, holdout, matrix, runs
 from phenogrid.sources.adapter import ctes, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -574,3 +574,66 @@ def rescore_robustness(spark, d):
 def min_samples(spark, d):
     n = _meta(spark, d).groupBy("drug_abbr").agg(F.avg(F.when(F.col("phenotype") == "Resistant", 1.0).otherwise(0.0)).alias("p"))
     return n.select("drug_abbr", cohort.min_samples(F.col("p"), 5).alias("by_folds"), cohort.min_samples(F.col("p"), None, (0.6, 0.2)).alias("by_split"))
+
+
+# Splits and models: hashes and iterative fits, which SQL doesn't express.
+
+_JOB = ["group_type", "drug_or_class", "feature_type", "encoding"]
+
+
+def _whole(spark, d, encodings=("binary",)):
+    return _drug_matrix(spark, d, encodings=encodings).drop("strat_value")
+
+
+@query("split_assignment")
+def split_assignment(spark, d):
+    members = matrix.kept_cohort(_meta(spark, d), _features(spark, d)).select("group_type", "drug_or_class", "genome_id", "phenotype")
+    return model.split_genomes(members, ["group_type", "drug_or_class"])
+
+
+@query("label_shuffle")
+def label_shuffle(spark, d):
+    members = matrix.kept_cohort(_meta(spark, d), _features(spark, d)).select("group_type", "drug_or_class", "genome_id", "phenotype")
+    return model.shuffle_labels(members, ["group_type", "drug_or_class"])
+
+
+_SMALL_GRID = [(p, m) for p in (0.001, 0.01, 0.1) for m in (0.0, 0.5, 1.0)]
+
+
+@query("lr_performance")
+def lr_performance(spark, d):
+    settings = runs.Settings(grid=_SMALL_GRID)
+    long = _whole(spark, d)
+    members = runs.assign(long, _JOB, "phenotype", settings)
+    return runs.performance(runs.fit(long, _JOB, settings, members=members), _JOB, settings, members).drop("run_time_sec", "date")
+
+
+@query("lr_top_features")
+def lr_top_features(spark, d):
+    return model.feature_importances(runs.fit(_whole(spark, d), _JOB, runs.Settings(grid=_SMALL_GRID)), _JOB)
+
+
+@query("mdr_performance")
+def mdr_performance(spark, d):
+    settings, by = runs.Settings(grid=_SMALL_GRID), ["feature_type", "encoding"]
+    long = matrix.mdr_matrix(relation(spark, d, "resistant_classes"), _features(spark, d), encodings=("binary",))
+    members = runs.assign(long, by, "resistant_classes", settings)
+    return runs.performance(runs.fit(long, by, settings, "resistant_classes", members), by, settings, members, "resistant_classes").drop("run_time_sec", "date")
+
+
+@query("cross_stratum_models")
+def cross_stratum_models(spark, d):
+    part = _drug_matrix(spark, d, "year", ("binary",)).where("feature_type = 'gene'")
+    by = ["group_type", "drug_or_class", "feature_type", "encoding", "train_strat", "test_strat"]
+    jobs = holdout.cross_stratum_jobs(part).select(*by)
+    train = part.withColumnRenamed("strat_value", "train_strat").join(jobs, by[:5])
+    test = part.withColumnRenamed("strat_value", "test_strat").join(jobs, [*by[:4], "test_strat"])
+    settings = runs.Settings(grid=[(0.01, 0.5)])
+    long, members = runs.external_test(train, test, by, settings)
+    return metrics.class_metrics(model.predictions(runs.fit(long, by, settings, members=members), by), by)
+
+
+@query("ife_run")
+def ife_run(spark, d):
+    long = _whole(spark, d).where("group_type = 'drug' and drug_or_class = 'P1' and feature_type = 'protein'").select("genome_id", "feature_id", "value", "phenotype")
+    return runs.iterative_elimination(long, runs.Settings(grid=[(0.01, 0.0)]), [20, 40, 60])
