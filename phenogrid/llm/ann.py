@@ -180,10 +180,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     centre, projection = learn(sample, bits)
     if radius is None:
         radius = radius_for(sample, encode(sample, centre, projection), k, recall)
-    queries = valid.where(is_query).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    queries = written(valid.where(is_query).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"]), "ann-queries")
     first = written(_search_cells(valid, queries, k, dim, centre, projection, radius), "ann")
     full = first.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    short = queries.join(full, "query_id", "left_anti")
+    short = written(queries.join(full, "query_id", "left_anti"), "ann-short")
     if not short.isEmpty():
         rest = _search_cells(valid, short, k, dim, centre, projection, bits)
         first = first.join(full, "query_id", "left_semi").unionByName(rest)

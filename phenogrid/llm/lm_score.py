@@ -353,7 +353,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             F.sum(F.when(is_word, F.col("n") * F.log10(F.col("value") + 1)).otherwise(0.0)).alias("add_logs"),
             F.sum(F.when(is_word & (F.col("value") > 0), F.col("n")).otherwise(0)).alias("add_known"),
         )
-        nothing = nothing.drop("add_score", "add_logs", "add_known").join(found, "row", "left").na.fill(0)
+        nothing = nothing.drop("add_score", "add_logs", "add_known").join(found, "row", "left").na.fill(0, ["add_score", "add_logs", "add_known"])
     spread = math.log10(facts.n + facts.v + 1)
     return nothing.select(
         "doc_id",
