@@ -37,9 +37,10 @@ def cross_pairs(keyed: DataFrame, may, also=None) -> DataFrame:
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], may, star_rounds: int = 1, tag: str = "link") -> DataFrame:
     """(node, component) for the nodes with a verified link.
 
-    members: (bucket, node, n), the buckets with at least two members; verify keeps the true links of
+    members: (bucket, node, n, copies), the buckets with at least two members; a bucket is compared with the
+    node of most copies, around which others tend to lie; verify keeps the true links of
     distinct pairs (a, b), a < b; may(n, other n) is an exact bound that rules pairs out; rest gives
-    the pairs to compare in the end of (bucket, node, n, component), the buckets of several components.
+    the pairs to compare in the end of (bucket, node, n, copies, component), the buckets of several components.
     """
     links = groups = done = None
 
@@ -50,7 +51,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
 
     for turn in range(star_rounds + 1):
         now = labelled()
-        star = F.min_by(F.struct("node", "n", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("rep")
+        star = F.min_by(F.struct("node", "n", "component"), F.struct(-F.col("copies"), F.xxhash64("node", F.lit(turn)), "node")).alias("rep")
         mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), star).where("lo <> hi")
         if turn < star_rounds:
             joined = now.join(mixed.select("bucket", "rep"), "bucket").where((F.col("component") != F.col("rep.component")) & may(F.col("n"), F.col("rep.n")))

@@ -130,10 +130,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     """(doc_id, n_shingles, component_id, kept) per row of docs; kept marks one document of each group."""
     percent = round(threshold * 100)
     signed = written(sign(docs, size, threshold, id_col, text_col), "near-signed")
-    nodes = signed.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = signed.where("fingerprint is not null and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = written(buckets.join(shared, "bucket"), "near-members")
+    several = nodes.where("copies > 1").select("node", "copies")
+    members = written(buckets.join(shared, "bucket").join(several, "node", "left").na.fill(1, ["copies"]), "near-members")
     candidates = members.select("node").distinct()
     rows = _shingled(docs, id_col, text_col)
     sets = written(shingle_sets(rows.join(candidates, rows["doc_id"] == candidates["node"], "left_semi"), size), "near-sets")
