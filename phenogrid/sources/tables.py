@@ -9,6 +9,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phenogrid.labels import METADATA_NAMES
 
@@ -75,6 +76,15 @@ def write_matrix(matrix: DataFrame, folder: str, partition_by: list[str]) -> Non
     """One table for all jobs, a folder for each; rows within a file in order of genome and feature."""
     ordered = matrix.repartition(*partition_by, F.pmod(F.xxhash64("genome_id"), F.lit(16))).sortWithinPartitions(*partition_by, "genome_id", "feature_id")
     ordered.write.mode("overwrite").partitionBy(*partition_by).option("compression", "zstd").parquet(folder)
+    # A partitioned table without rows has no file that tells its columns.
+    _write_text(matrix.sparkSession, f"{folder.rstrip('/')}.schema.json", matrix.schema.json())
+
+
+def read_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(_text(spark, f"{folder.rstrip('/')}.schema.json")))
+    df = spark.read.schema(schema).parquet(folder)
+    # An empty stratum is no folder's name, so it comes back as null.
+    return df.na.fill("", ["strat_value"]) if "strat_value" in df.columns else df
 
 
 def write_result(result: DataFrame, folder: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
