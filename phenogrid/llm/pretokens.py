@@ -88,6 +88,7 @@ class PretokenCoder:
         alphabet = [c for c in range(256) if chr(c).isprintable() and c not in (0x20, 0xA0, 0xAD)]
         others = [c for c in range(256) if c not in set(alphabet)]
         self.byte_names = {c: chr(c) for c in alphabet} | {c: chr(256 + k) for k, c in enumerate(others)}
+        self.space = self.byte_names[0x20]
         self.pieces = _Cache(self._encode, first or {}, entries // 2)
         self.words = _Cache(self._word, {}, entries)
 
@@ -115,8 +116,13 @@ class PretokenCoder:
         return self.keep([t.id for t in self.tokenize(named)])
 
     def _word(self, word: str):
-        if word.isalpha() and _PLAIN.fullmatch(word):
-            return self._encode(" " + word)  # a pre-token by itself
+        if word.isascii():
+            if word.isalpha():  # a pre-token by itself
+                return self.keep([t.id for t in self.tokenize(self.space + word)])
+            if word[-1] in ",.;:!?" and word[:-1].isalpha():
+                return self.combine((self.pieces[" " + word[:-1]], self.pieces[word[-1]]))
+        elif word.isalpha() and _PLAIN.fullmatch(word):
+            return self._encode(" " + word)
         if word[0] == _START:
             text = bare = word[1:]
         elif word[0] == "\n":
