@@ -80,7 +80,7 @@ class _Counter:
     def add(self, keys: np.ndarray, all_n: np.ndarray, train_n: np.ndarray) -> None:
         self.parts.append((keys, all_n, train_n))
         self.rows += len(keys)
-        if self.rows > 2 * self.kept + 4_000_000:
+        if self.rows > 2 * self.kept + 1_500_000:
             self.merge()
 
     def merge(self) -> None:
