@@ -1 +1 @@
-"""To be filled."""
+"""Plans: cohorts, matrices, hold-outs, runs, merging."""

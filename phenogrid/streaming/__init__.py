@@ -1 +1 @@
-"""To be filled."""
+"""The work is batch alone: matrices, models and reports of a finished study. There is no stream to process."""

@@ -289,7 +289,7 @@ def test_whole_run(spark, tmp_path):
     runs.run_family(spark, f"{d}/out", settings)
     perf = spark.read.parquet(f"{d}/out/ML_performance")
     assert {(r.group_type, r.drug_or_class, r.encoding) for r in perf.collect()} == {("drug", "AMP", "binary"), ("drug", "CIP", "binary"), ("drug_class", "BL", "binary"), ("drug", "AMP", "counts"), ("drug", "CIP", "counts"), ("drug_class", "BL", "counts")}
-    assert runs.unfinished(spark.read.parquet(f"{d}/out/matrix").select(*runs.JOB).distinct(), perf, runs.JOB, settings.seed).count() == 0
+    assert runs.unfinished(tables.read_matrix(spark, f"{d}/out/matrix").select(*runs.JOB).distinct(), perf, runs.JOB, settings.seed).count() == 0
     assert runs.run_cross(spark, f"{d}/out", settings).where("kind = 'model'").count() == tables.read_matrix(spark, f"{d}/out/cross_drug_test").select("feature_type", "encoding", "ref_drug", "test_drug").distinct().count()
     runs.run_mdr(spark, f"{d}/out", settings)
     assert spark.read.parquet(f"{d}/out/MDR_ML_performance").count() == 2
