@@ -159,3 +159,21 @@ def op10_decontaminate(spark, sf_dir):
         F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
+
+
+_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL = f"""
+with d as (select doc_id, coalesce({_WORDS.format(t="text")}, []) as ws from documents),
+b as (select item_id, {_WORDS.format(t="text")} as ws from benchmark where item_id is not null and text is not null),
+bs as (select item_id, ws, least(13, len(ws)) as size from b where len(ws) > 0),
+bw as (select distinct item_id, size, array_to_string(ws[i + 1 : i + size], ' ') as win from bs, unnest(range(len(ws) - size + 1)) t(i)),
+dw as (select doc_id, s.size, i, array_to_string(ws[i + 1 : i + s.size], ' ') as win from d, (select distinct size from bw) s, unnest(range(greatest(0, len(ws) - s.size + 1))) t(i)),
+hits as (select doc_id, i, dw.size, item_id from dw join bw on dw.size = bw.size and dw.win = bw.win),
+spots as (select doc_id, count(distinct i + k) as n_hit from hits, unnest(range(hits.size)) t(k) group by doc_id),
+who as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join spots using (doc_id) left join who using (doc_id)
+"""

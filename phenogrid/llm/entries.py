@@ -19,4 +19,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op3_warc": warc.SQL,
+    "op5_near_dedup": near_dedup.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }

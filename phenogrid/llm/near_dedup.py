@@ -178,3 +178,16 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8,
 def op5_near_dedup(spark, sf_dir):
     small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, threshold=0.85)
+
+
+SQL = r"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i + 1 : i + least(3, len(ws))], ' ') as shingle from d, unnest(range(len(ws) - least(3, len(ws)) + 1)) t(i) where len(ws) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id as a, doc_id as b from d union select r.a, e.b from r join e on e.a = r.b),
+g as (select a as doc_id, min(b) as component_id from r group by a)
+select g.doc_id, coalesce(n.n, 0) as n_shingles, component_id, g.doc_id = component_id as kept from g left join n on n.doc_id = g.doc_id
+"""
