@@ -1,9 +1,10 @@
 """From buckets of candidates to groups, without all pairs of a bucket.
 
 Only which nodes hang together is wanted, so pairs inside a group that is known already need no look.
-First each bucket's members are compared with one member of it, or for a few rounds with another one
-each; then whatever still lies in one bucket but in different groups is compared by keys of which a
-linked pair must share one, which is the exact way for what the stars missed.
+First each bucket's members are compared with one member of it, in later rounds with one of the
+bucket's largest group; a bucket of two is settled by that. Then whatever still lies in one bucket but
+in different groups is compared by keys of which a linked pair must share one, which is the exact way
+for what the stars missed.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
 
     members: (bucket, node, n, copies), the buckets with at least two members; a bucket is compared with the
     node of most copies, around which others tend to lie; verify keeps the true links of
-    distinct pairs (a, b), a < b; may(n, other n) is an exact bound that rules pairs out; rest gives
-    the pairs to compare in the end of (bucket, node, n, copies, component), the buckets of several components.
+    distinct pairs (a, b), a < b; may(n, other n) is an exact bound that rules pairs out, n a number or
+    a struct; rest gives the pairs to compare in the end of (bucket, node, n, copies, component), the buckets
+    of three members or more that lie in several components.
     """
     links = groups = done = None
 
@@ -51,8 +53,16 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
 
     for turn in range(star_rounds + 1):
         now = labelled()
-        star = F.min_by(F.struct("node", "n", "component"), F.struct(-F.col("copies"), F.xxhash64("node", F.lit(turn)), "node")).alias("rep")
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), star).where("lo <> hi")
+        ends = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")]
+        if turn in (0, star_rounds):
+            star = F.min_by(F.struct("node", "n", "component"), F.struct(-F.col("copies"), F.xxhash64("node"), "node")).alias("rep")
+            mixed = now.groupBy("bucket").agg(*ends, star).where("lo <> hi")
+        else:
+            drawn = F.min_by(F.struct("node", "n", "component"), F.struct(F.xxhash64("node", "bucket", F.lit(turn)), "node")).alias("drawn")
+            parts = now.groupBy("bucket", "component").agg(F.count("*").alias("size"), drawn)
+            mixed = parts.groupBy("bucket").agg(*ends[:2], F.sum("size").alias("c"), F.max_by("drawn", F.struct("size", "component")).alias("rep")).where("lo <> hi")
+        if turn:
+            mixed = mixed.where("c > 2")
         if turn < star_rounds:
             joined = now.join(mixed.select("bucket", "rep"), "bucket").where((F.col("component") != F.col("rep.component")) & may(F.col("n"), F.col("rep.n")))
             pairs = joined.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b")).distinct()
