@@ -26,22 +26,28 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
 
 
-def contingency(features: DataFrame, genomes: DataFrame) -> DataFrame:
-    """(feature_id, a, b, c, d): present and absent among resistant, present and absent among susceptible.
+def _with_totals(per: DataFrame, totals: DataFrame, by: list[str] | None) -> DataFrame:
+    return per.join(totals, by) if by else per.crossJoin(F.broadcast(totals))
 
-    genomes: (genome_id, phenotype), one row each, both phenotypes alone. Features are long; a genome
-    without a row for a feature hasn't it. Values other than zero and one are left out of the table.
+
+def contingency(features: DataFrame, genomes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, feature_id, a, b, c, d): present and absent among resistant, present and absent among susceptible.
+
+    genomes: (by, genome_id, phenotype), one row each of a group, both phenotypes alone. Features are long,
+    the same for all groups; a genome without a row for a feature hasn't it. Values other than zero and one
+    are left out of the table.
     """
-    totals = genomes.agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.count("*").alias("every"))
+    by = by or []
+    totals = genomes.groupBy(*by).agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.count("*").alias("every"))
     rows = features.join(genomes, "genome_id")
     one = lambda phenotype, cond: F.sum(F.when((F.col("phenotype") == RESISTANT) == F.lit(phenotype), F.when(cond, 1)).otherwise(0))
     odd = ~F.col("value").isin(0.0, 1.0)
-    per = rows.groupBy("feature_id").agg(
+    per = rows.groupBy(*by, "feature_id").agg(
         F.coalesce(one(True, F.col("value") == 1), F.lit(0)).alias("a"), F.coalesce(one(False, F.col("value") == 1), F.lit(0)).alias("c"),
         F.coalesce(one(True, odd), F.lit(0)).alias("odd_r"), F.coalesce(one(False, odd), F.lit(0)).alias("odd_s"),
     )
-    both = per.crossJoin(F.broadcast(totals))
-    return both.select("feature_id", "a", (F.col("res") - F.col("a") - F.col("odd_r")).alias("b"), "c", (F.col("every") - F.col("res") - F.col("c") - F.col("odd_s")).alias("d"))
+    both = _with_totals(per, totals, by)
+    return both.select(*by, "feature_id", "a", (F.col("res") - F.col("a") - F.col("odd_r")).alias("b"), "c", (F.col("every") - F.col("res") - F.col("c") - F.col("odd_s")).alias("d"))
 
 
 def fisher_p(a: Column, b: Column, c: Column, d: Column, alternative: str = "two.sided") -> Column:
@@ -62,13 +68,13 @@ def fisher_p(a: Column, b: Column, c: Column, d: Column, alternative: str = "two
     return F.least(F.lit(1.0), F.aggregate(far, F.lit(0.0), lambda s, t: s + t["p"]))
 
 
-def fisher_tests(features: DataFrame, genomes: DataFrame, alternative: str = "two.sided") -> DataFrame:
-    """(feature_id, a, b, c, d, p_value)."""
-    t = contingency(features, genomes)
+def fisher_tests(features: DataFrame, genomes: DataFrame, alternative: str = "two.sided", by: list[str] | None = None) -> DataFrame:
+    """(by, feature_id, a, b, c, d, p_value)."""
+    t = contingency(features, genomes, by)
     # Tables repeat between features; each is summed up once.
     distinct = t.select("a", "b", "c", "d").distinct()
     scored = distinct.withColumn("p_value", fisher_p(*[F.col(x) for x in "abcd"], alternative))
-    return t.join(scored, ["a", "b", "c", "d"]).select("feature_id", "a", "b", "c", "d", "p_value")
+    return t.join(scored, ["a", "b", "c", "d"]).select(*(by or []), "feature_id", "a", "b", "c", "d", "p_value")
 
 
 def benjamini_hochberg(tests: DataFrame, q: float = 0.05, by: list[str] | None = None) -> DataFrame:
@@ -83,15 +89,16 @@ def benjamini_hochberg(tests: DataFrame, q: float = 0.05, by: list[str] | None =
     return rejected.withColumn("significant", F.col("_rank") <= F.col("_rejected")).drop("_n", "_rank", "_rejected")
 
 
-def feature_freq(features: DataFrame, genomes: DataFrame) -> DataFrame:
-    """(feature_id, freq_resistant, freq_susceptible): the share of each phenotype's genomes with value one."""
-    totals = genomes.agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.sum(F.when(F.col("phenotype") == RESISTANT, 0).otherwise(1)).alias("sus"))
-    per = features.join(genomes, "genome_id").groupBy("feature_id").agg(*[F.sum(F.when((F.col("phenotype") == p) & (F.col("value") == 1), 1).otherwise(0)).alias(n) for p, n in zip(PHENOTYPES, ("r", "s"), strict=True)])
-    both = per.crossJoin(F.broadcast(totals))
-    return both.select("feature_id", F.try_divide("r", "res").alias("freq_resistant"), F.try_divide("s", "sus").alias("freq_susceptible"))
+def feature_freq(features: DataFrame, genomes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, feature_id, freq_resistant, freq_susceptible): the share of each phenotype's genomes with value one."""
+    by = by or []
+    totals = genomes.groupBy(*by).agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.sum(F.when(F.col("phenotype") == RESISTANT, 0).otherwise(1)).alias("sus"))
+    per = features.join(genomes, "genome_id").groupBy(*by, "feature_id").agg(*[F.sum(F.when((F.col("phenotype") == p) & (F.col("value") == 1), 1).otherwise(0)).alias(n) for p, n in zip(PHENOTYPES, ("r", "s"), strict=True)])
+    both = _with_totals(per, totals, by)
+    return both.select(*by, "feature_id", F.try_divide("r", "res").alias("freq_resistant"), F.try_divide("s", "sus").alias("freq_susceptible"))
 
 
-def run_fishers(features: DataFrame, genomes: DataFrame, q: float = 0.05, alternative: str = "two.sided") -> DataFrame:
+def run_fishers(features: DataFrame, genomes: DataFrame, q: float = 0.05, alternative: str = "two.sided", by: list[str] | None = None) -> DataFrame:
     """Tests, adjusted p values and frequencies of every feature, in one plan."""
-    tested = benjamini_hochberg(fisher_tests(features, genomes, alternative), q)
-    return tested.join(feature_freq(features, genomes), "feature_id")
+    tested = benjamini_hochberg(fisher_tests(features, genomes, alternative, by), q, by)
+    return tested.join(feature_freq(features, genomes, by), [*(by or []), "feature_id"])
