@@ -597,12 +597,9 @@ def label_shuffle(spark, d):
     return model.shuffle_labels(members, ["group_type", "drug_or_class"])
 
 
-_SMALL_GRID = [(p, m) for p in (0.001, 0.01, 0.1) for m in (0.0, 0.5, 1.0)]
-
-
 @query("lr_performance")
 def lr_performance(spark, d):
-    settings = runs.Settings(grid=_SMALL_GRID)
+    settings = runs.Settings(grid=model.tuning_grid())
     long = _whole(spark, d)
     members = runs.assign(long, _JOB, "phenotype", settings)
     return runs.performance(runs.fit(long, _JOB, settings, members=members), _JOB, settings, members).drop("run_time_sec", "date")
@@ -610,12 +607,12 @@ def lr_performance(spark, d):
 
 @query("lr_top_features")
 def lr_top_features(spark, d):
-    return model.feature_importances(runs.fit(_whole(spark, d), _JOB, runs.Settings(grid=_SMALL_GRID)), _JOB)
+    return model.feature_importances(runs.fit(_whole(spark, d), _JOB, runs.Settings(grid=model.tuning_grid())), _JOB)
 
 
 @query("mdr_performance")
 def mdr_performance(spark, d):
-    settings, by = runs.Settings(grid=_SMALL_GRID), ["feature_type", "encoding"]
+    settings, by = runs.Settings(grid=model.tuning_grid()), ["feature_type", "encoding"]
     long = matrix.mdr_matrix(relation(spark, d, "resistant_classes"), _features(spark, d), encodings=("binary",))
     members = runs.assign(long, by, "resistant_classes", settings)
     return runs.performance(runs.fit(long, by, settings, "resistant_classes", members), by, settings, members, "resistant_classes").drop("run_time_sec", "date")
@@ -623,12 +620,12 @@ def mdr_performance(spark, d):
 
 @query("cross_stratum_models")
 def cross_stratum_models(spark, d):
-    part = _drug_matrix(spark, d, "year", ("binary",)).where("feature_type = 'gene'")
+    part = _drug_matrix(spark, d, "year", ("binary",))
     by = ["group_type", "drug_or_class", "feature_type", "encoding", "train_strat", "test_strat"]
     jobs = holdout.cross_stratum_jobs(part).select(*by)
     train = part.withColumnRenamed("strat_value", "train_strat").join(jobs, by[:5])
     test = part.withColumnRenamed("strat_value", "test_strat").join(jobs, [*by[:4], "test_strat"])
-    settings = runs.Settings(grid=[(0.01, 0.5)])
+    settings = runs.Settings(grid=model.tuning_grid())
     long, members = runs.external_test(train, test, by, settings)
     return metrics.class_metrics(model.predictions(runs.fit(long, by, settings, members=members), by), by)
 
@@ -636,4 +633,4 @@ def cross_stratum_models(spark, d):
 @query("ife_run")
 def ife_run(spark, d):
     long = _whole(spark, d).where("group_type = 'drug' and drug_or_class = 'P1' and feature_type = 'protein'").select("genome_id", "feature_id", "value", "phenotype")
-    return runs.iterative_elimination(long, runs.Settings(grid=[(0.01, 0.0)]), [20, 40, 60])
+    return runs.iterative_elimination(long, runs.Settings(grid=model.tuning_grid(mixtures=[0.0])), [20, 40, 60])
