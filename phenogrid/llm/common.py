@@ -60,7 +60,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
