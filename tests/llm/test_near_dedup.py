@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phenogrid.llm.components import connected_components
 from phenogrid.llm.near_dedup import banding, drop_near_duplicates, near_duplicates, signature
@@ -111,3 +112,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100 + i: 100 for i in range(200)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_with_several_texts(spark):
+    """One id joins the groups of its texts; dropping goes by texts, and none is lost."""
+    t, u, v = (" ".join(f"{c}{i}" for i in range(40)) for c in "tuv")
+    rows = [(3, t), (5, t), (5, u), (9, u), (9, ""), (11, v), (None, u)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(1)).withColumn("text_key", F.lit("x"))
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, 3, 0.85).collect()]
+    assert sorted(g for g in got if g[0] is not None) == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (9, 3, False), (11, 11, True)]
+    left = drop_near_duplicates(df, 3, 0.85)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text) for r in left.collect()) == sorted([(3, t), (5, u), (9, ""), (11, v), (-1, u)])
