@@ -140,7 +140,8 @@ class PretokenCoder:
             return self.keep(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = text.replace("\n", " \n").split(" ")
         words[0] = _START + words[0]
-        if "" not in words:
+        # A word with an added token in it is no pre-token by itself.
+        if "" not in words and not any(name in text for name in self.added):
             try:
                 return self.combine(map(self.words.__getitem__, words))
             except _Uneven:

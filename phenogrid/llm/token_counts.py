@@ -50,9 +50,31 @@ def frequent_lengths(docs: DataFrame, text_col: str, path: str, sample_documents
     return {p: lengths[p] for p, _ in seen.most_common(entries)}
 
 
-def _coder(path: str, tag: str, first) -> PretokenCoder:
+class TwoTiers:
+    """Lengths of texts: each pre-token is asked of the table first, and of this worker's cache if that hasn't it."""
+
+    def __init__(self, path: str, table: dict[str, int]):
+        self.table, self.coder = table, PretokenCoder(path, len, sum)
+        self.hits = self.misses = 0
+
+    def __call__(self, text: str | None) -> int:
+        if not text:
+            return 0
+        if not self.coder.by_pretoken:
+            return self.coder(text)
+        pieces = self.coder.pretokens(text)
+        found = list(map(self.table.get, pieces))
+        missing = found.count(None)
+        self.hits, self.misses = self.hits + len(found) - missing, self.misses + missing
+        if not missing:
+            return sum(found)
+        slow = self.coder.pieces
+        return sum(slow[p] if n is None else n for p, n in zip(pieces, found, strict=True))
+
+
+def _coder(path: str, tag: str, table) -> TwoTiers:
     """This worker's coder; it outlives a task, so that its cache serves the next one."""
-    return resident(("lengths", path, tag), lambda: PretokenCoder(path, len, sum, first.value))
+    return resident(("lengths", path, tag), lambda: TwoTiers(path, table.value))
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None, result_col: str = "n_tokens", sample_documents: int = SAMPLE_DOCUMENTS, entries: int = TABLE_ENTRIES) -> DataFrame:

@@ -41,6 +41,25 @@ def test_counts(docs, rows, library):
     assert sorted((str(r.doc_id), r.n_tokens) for r in got.collect()) == want
 
 
+def test_the_table_is_asked_first(library):
+    table = {" the": 1, "the": 1, " cat": 1}
+    counter = token_counts.TwoTiers(default_path(), table)
+    text = "the cat saw the unusualcatword"
+    assert counter(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert (counter.hits, counter.misses) == (3, 2)
+    assert counter(text) and (counter.hits, counter.misses) == (6, 4)
+    assert not set(table) & set(counter.coder.pieces)
+
+
+def test_the_queries_themselves(spark, docs, rows, library, tmp_path):
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = [library.encode(r[1] or "", add_special_tokens=False).ids for r in rows]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.op8_token_counts(spark, f"file://{tmp_path}").collect())
+    assert got == sorted((str(r[0]), len((r[1] or "").encode()), len(w), len(w) > 512) for r, w in zip(rows, want, strict=True))
+    digest = sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in token_files.op9_token_files(spark, f"file://{tmp_path}").collect())
+    assert digest == sorted((str(r[0]), len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for r, w in zip(rows, want, strict=True))
+
+
 def test_counts_of_nothing(no_docs):
     assert token_counts.count_tokens(no_docs).count() == 0
 
