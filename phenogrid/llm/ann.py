@@ -18,7 +18,8 @@ shards, and each shard returns k rows a query at most.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, nor do rows with a null id; equal scores are ranked by id; rows that share an
-id aren't neighbours of each other; with fewer than k others all are returned; an empty table gives an
+id aren't neighbours of each other, count once as a neighbour, with the nearest of them, and ask with
+the least of their vectors; vectors are scaled by powers of two, so that no length over- or underflows; with fewer than k others all are returned; an empty table gives an
 empty result; other columns don't matter.
 """
 
@@ -126,7 +127,9 @@ class MultiIndex:
 
 
 def _matrix(t: pa.Table, dim: int) -> np.ndarray:
-    return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    # By a power of two, which changes no cosine.
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
 def _search_cells(base: DataFrame, queries: DataFrame, k: int, dim: int, centre: np.ndarray, projection: np.ndarray, radius: int) -> DataFrame:
@@ -147,7 +150,8 @@ def _search_cells(base: DataFrame, queries: DataFrame, k: int, dim: int, centre:
                 at = index.within(code, radius)
                 at = at[names[at] != name]
                 s = cosines(x[at], norms[at], query)
-                best = np.lexsort((names[at], -s))[:k]
+                best = np.lexsort((names[at], -s))
+                best = best[np.sort(np.unique(names[at][best], return_index=True)[1])[:k]]
                 ids.append(names[at][best])
                 scores.append(s[best])
                 who.append(np.full(len(best), name))
@@ -180,7 +184,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     centre, projection = learn(sample, bits)
     if radius is None:
         radius = radius_for(sample, encode(sample, centre, projection), k, recall)
-    queries = written(valid.where(is_query).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"]), "ann-queries")
+    queries = written(valid.where(is_query).select(F.col("vec_id").alias("query_id"), "v").groupBy("query_id").agg(F.min("v").alias("v")), "ann-queries")
     first = written(_search_cells(valid, queries, k, dim, centre, projection, radius), "ann")
     full = first.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     short = written(queries.join(full, "query_id", "left_anti"), "ann-short")
