@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import small_batches, table, written
+from phenogrid.llm.common import lower_ascii, small_batches, table, written
 
-#: A broadcast holds the windows of benchmark items of at most so many UTF-8 bytes; a larger benchmark is searched block by block.
-BLOCK_BYTES = 16 << 20
+#: A broadcast holds about so many windows, half a kilobyte each in a worker; a larger benchmark is searched block by block.
+BLOCK_WINDOWS = 200_000
+#: Windows of a piece that an item is cut into, so that an item may be larger than a block.
+PIECE_WINDOWS = 5_000
 
 _WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
 _FOLD = bytes(low if (low := ord(chr(b).lower()) if b < 0x80 else b) in _WORD_BYTES else 0x20 for b in range(256))
@@ -97,13 +99,22 @@ def _scan(patterns, text: pd.Series, spans: pd.Series | None, items: pd.Series |
     return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Benchmark items in blocks of a checked size."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = 1 + size // block_bytes
+def pieces_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, text, n): the items' words in pieces of n windows that each lie whole in one piece."""
+    words = F.regexp_extract_all(lower_ascii(F.col(text_col).cast("string")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("words")).where("item is not null and size(words) > 0")
+    last = F.greatest(F.lit(0), F.size("words") - window)
+    cut = items.select("item", "words", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(PIECE_WINDOWS))).alias("at"))
+    return cut.select("item", F.array_join(F.slice("words", F.col("at") + 1, F.lit(PIECE_WINDOWS + window - 1)), " ").alias("text"), F.least(F.lit(PIECE_WINDOWS), F.col("last") - F.col("at") + 1).alias("n"))
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_windows: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's windows in blocks of a checked size."""
+    pieces = pieces_of(benchmark, item_col, text_col, window)
+    size = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = 1 + size // block_windows
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        part = pieces if n == 1 else pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         yield [(r.item, r.text) for r in part.collect()]
 
 
@@ -125,12 +136,12 @@ def _next_search(shared):
     return search
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, result_col: str = "contamination", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, result_col: str = "contamination", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with a struct column: words, hit words, the items found and the merged spans of hit words."""
     sc = docs.sparkSession.sparkContext
     text = F.col(text_col).cast("string")
     out = docs
-    for k, items in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
+    for k, items in enumerate(_blocks(benchmark, item_col, item_text_col, window, block_windows)):
         shared = sc.broadcast(Patterns(items, window))
         if k == 0:
             out = out.withColumn(result_col, _first_search(shared)(text))

@@ -35,12 +35,13 @@ def brute_hits(text, items, window):
     return len(w), len(hit), sorted(who)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_decontamination_equals_brute_force(spark, docs, rows, block_bytes):
+@pytest.mark.parametrize(("block_windows", "piece"), [(1 << 20, 5000), (20, 7)])
+def test_decontamination_equals_brute_force(spark, docs, rows, monkeypatch, block_windows, piece):
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", piece)
     t = [r[1] for r in rows]
     items = [(7, " ".join(t[0].split()[5:40]).upper()), (8, "one two"), (9, "one"), (10, None), (None, t[3]), (11, "!!"), (12, t[12]), (13, " ".join(t[0].split()[20:60])), (13, "a b c"), (14, " ".join(t[37].split()[29_000:29_040]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.find_contamination(docs, bench, block_bytes=block_bytes)
+    got = decontaminate.find_contamination(docs, bench, block_windows=block_windows)
     assert sorted(got.columns) == sorted(docs.columns)  # the clashing column is replaced
     some = 0
     want = {(r[0], r[1]): brute_hits(r[1], items, 13) for r in rows}
@@ -97,6 +98,26 @@ def test_nearest(spark):
             assert hits >= least * 5 * len(want)
 
 
+def test_nearest_of_tiny_huge_and_repeated(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e190]), (2, [1.0, 1.0]), (2, [1.0, 0.5]), (50, [3e-310, 3e-310]), (50, [0.0, 1.0]), (7, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, round(r.score, 6)) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    half = round(math.sqrt(0.5), 6)
+    # The least of 50's vectors asks, (0, 1); rows of 2 count once, with the nearer.
+    assert got[:4] == [(0, 1, 1.0), (0, 2, round(1 / math.sqrt(1.25), 6)), (0, 50, half), (0, 7, -1.0)]
+    assert [g[1] for g in got[4:]] == [2, 1, 0, 7]
+
+
+def test_the_query_of_nearest(spark, small):
+    rows = [(r.vec_id, r[1], "e") for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()]
+    want = {q: v for q, v in truth(rows).items()}
+    got = collections.defaultdict(list)
+    for r in ann.op1_ann(spark, small).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert {q % 50 for q in got} == {0} and set(got) == set(want)
+    assert sum(len({i for i, _ in want[q]} & set(got[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
 def test_nearest_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
