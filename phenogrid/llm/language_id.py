@@ -2,6 +2,8 @@
 
 First the language's family is predicted, by one linear support vector machine per family against the
 rest; then one-versus-one linear support vector machines vote between the languages of that family.
+Families are learned, too: languages whose mean feature vectors lie nearest are joined, by average
+linkage, until there are about as many families as languages in each (the root of their number).
 Features are hashed counts of one to three letters in a row, scaled to length one, of the whole
 lower-cased text; everything that isn't a letter is a word boundary.
 
@@ -16,6 +18,7 @@ one by one; other columns are kept, and one with the name of the result column i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,52 +26,51 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from phenogrid.llm.common import crc_mod, release, small_batches, table
+from phenogrid.llm.common import crc_mod, release, small_batches, table, written
 
 #: Labelled texts per language that a machine learns from, at most.
 TEXTS_PER_LANGUAGE = 1000
 DIMENSIONS = 4096
 UNKNOWN = "und"
 
-# Languages of a family, by ISO 639 code. Any other language is a family of its own.
-FAMILIES = {
-    "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
-    "romance": "an ast ca es fr gl it la lmo oc pt ro sc",
-    "slavic": "be bg bs cs hr mk pl ru sh sk sl sr uk",
-    "celtic": "br cy ga gd gv kw",
-    "baltic": "lt lv",
-    "uralic": "et fi hu",
-    "indo-aryan": "bn gu hi mr ne pa sa si ur",
-    "iranian": "fa ku ps tg",
-    "turkic": "az kk ky tk tr tt ug uz",
-    "semitic": "am ar he mt ti",
-    "dravidian": "kn ml ta te",
-    "malayo-polynesian": "ceb id jv mg ms su tl",
-}
-_FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _SHIFT = np.uint32(32 - DIMENSIONS.bit_length() + 1)
 
 
-def family_of(lang: str) -> str:
-    return _FAMILY_OF.get(lang.lower().replace("_", "-").split("-")[0], lang)
+#: Characters of a text that are looked at together.
+PIECE = 1 << 18
 
 
 def features(text: str) -> np.ndarray:
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = (c >= 0xC0) | ((c >= 0x61) & (c <= 0x7A)) | (c == 0xAA) | (c == 0xB5) | (c == 0xBA)
-    c = np.where(letter, c, np.uint32(0x20))
-    h = c * _MIX[0]
-    two = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _MIX[1] + c[1:] * _MIX[2]
-    three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * _MIX[0] + c[2:] * _MIX[1]
-    keys = np.concatenate([x * _MIX[2] >> _SHIFT for x in (h, two, three)])
-    x = np.sqrt(np.bincount(keys, minlength=DIMENSIONS).astype(np.float32))
+    counts, before = np.zeros(DIMENSIONS), np.zeros(0, np.uint32)
+    for start in range(0, len(text), PIECE):
+        c = np.frombuffer(text[start : start + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = (c >= 0xC0) | ((c >= 0x61) & (c <= 0x7A)) | (c == 0xAA) | (c == 0xB5) | (c == 0xBA)
+        k, c = len(before), np.concatenate([before, np.where(letter, c, np.uint32(0x20))])
+        h = c * _MIX[0]
+        two = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _MIX[1] + c[1:] * _MIX[2]
+        three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * _MIX[0] + c[2:] * _MIX[1]
+        for x, seen in ((h, k), (two, max(0, k - 1)), (three, max(0, k - 2))):
+            counts += np.bincount((x[seen:] * _MIX[2] >> _SHIFT).astype(np.int64), minlength=DIMENSIONS)
+        before = c[-2:]
+    x = np.sqrt(counts).astype(np.float32)
     size = np.sqrt((x * x).sum())
     return x / size if size else x
 
 
+def group_languages(names: list[str], means: np.ndarray) -> dict[str, list[str]]:
+    """Families of languages by the cosines of their mean vectors: {first language: languages}."""
+    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
+    alike, groups = unit @ unit.T, [[i] for i in range(len(names))]
+    while len(groups) > math.ceil(math.sqrt(len(names))):
+        pairs = [(float(alike[np.ix_(groups[a], groups[b])].mean()), -a, -b) for a in range(len(groups)) for b in range(a)]
+        _, a, b = max(pairs)
+        groups[-b] += groups.pop(-a)
+    return {names[min(g)]: [names[i] for i in sorted(g)] for g in groups}
+
+
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 25, seed: int = 3) -> np.ndarray:
     """Weights of a linear SVM with squared hinge loss, by dual coordinate descent; y is 1 or -1. The last column is one, for the bias."""
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
@@ -90,12 +92,9 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 25
 
 
 class Machines:
-    """families: (names, weights); pairs: for each family (languages, pairs of their numbers, weights)."""
+    """family: a machine for each family; pairs: for each family (languages, pairs of their numbers, weights)."""
 
-    def __init__(self, weights: dict[str, np.ndarray], langs: list[str]):
-        by: dict[str, list[str]] = {}
-        for lang in sorted(langs):
-            by.setdefault(family_of(lang), []).append(lang)
+    def __init__(self, weights: dict[str, np.ndarray], by: dict[str, list[str]]):
         self.names = sorted(by)
         zero = np.zeros(DIMENSIONS + 1, np.float32)
         self.family = np.array([weights.get(f"f|{f}", zero) for f in self.names])
@@ -135,26 +134,51 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.5 * per_language / n))])
     draw = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
     some = rows.where(draw < F.element_at(share, F.col("lang"))).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text"))).where(F.col("k") <= per_language)
-    by: dict[str, list[str]] = {}
-    for lang in sorted(counts):
-        by.setdefault(family_of(lang), []).append(lang)
+    # What is shuffled is the vectors of the drawn texts, which are of a bounded size, not the texts.
+    vectors = written(some.select("lang", sparse_features("text").alias("x")), "lang-vectors")
+    means = {r.lang: np.array(r.mean) for r in vectors.groupBy("lang").applyInPandas(_mean_vector, "lang string, mean array<double>").collect()}
+    names = sorted(means)
+    by = group_languages(names, np.array([means[n] for n in names])) if names else {}
     # (machine, language, side) for each language that a machine learns from.
-    plan = [(f"f|{f}", lang, 1 if lang in by[f] else -1) for f in by for lang in counts if len(by) > 1]
+    plan = [(f"f|{f}", lang, 1 if lang in by[f] else -1) for f in by for lang in names if len(by) > 1]
     plan += [(f"p|{a}|{b}", lang, side) for langs in by.values() for a, b in combinations(langs, 2) for lang, side in ((a, 1), (b, -1))]
     if not plan:
-        return Machines({}, list(counts))
+        return Machines({}, by) if by else None
     machines = labelled.sparkSession.createDataFrame(plan, "machine string, lang string, side int")
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         release()
         x = np.ones((len(part), DIMENSIONS + 1), np.float32)
-        for row, t in zip(x, part["text"], strict=True):
-            row[:-1] = features(t)
+        x[:, :-1] = _dense(part["x"])
         w = train_svm(x, part["side"].to_numpy())
         return pd.DataFrame({"machine": [part["machine"].iloc[0]], "weights": [w.astype(float)]})
 
-    trained = some.join(F.broadcast(machines), "lang").groupBy("machine").applyInPandas(train, "machine string, weights array<double>")
-    return Machines({r.machine: np.array(r.weights, np.float32) for r in trained.collect()}, list(counts))
+    trained = vectors.join(F.broadcast(machines), "lang").groupBy("machine").applyInPandas(train, "machine string, weights array<double>")
+    return Machines({r.machine: np.array(r.weights, np.float32) for r in trained.collect()}, by)
+
+
+@F.pandas_udf(T.BinaryType())
+def sparse_features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The places and values of features() that aren't zero, six bytes each."""
+    for texts in parts:
+        out = []
+        for t in texts:
+            x = features(t)
+            at = np.flatnonzero(x)
+            out.append(x[at].tobytes() + at.astype(np.uint16).tobytes())
+        yield pd.Series(out, dtype=object)
+
+
+def _dense(packed: pd.Series) -> np.ndarray:
+    out = np.zeros((len(packed), DIMENSIONS), np.float32)
+    for row, data in zip(out, packed, strict=True):
+        n = len(data) // 6
+        row[np.frombuffer(data, np.uint16, n, 4 * n)] = np.frombuffer(data, np.float32, n)
+    return out
+
+
+def _mean_vector(part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"lang": [part["lang"].iloc[0]], "mean": [_dense(part["x"]).mean(axis=0).astype(float)]})
 
 
 def identify(docs: DataFrame, machines: Machines | None, text_col: str = "text", result_col: str = "language") -> DataFrame:
@@ -186,6 +210,12 @@ def with_language(docs: DataFrame, result_col: str = "language") -> DataFrame:
     return identify(docs, learn(docs.where(~held_out()), "doc_id", "text", "lang"), result_col=result_col)
 
 
+def identify_rows(docs: DataFrame) -> DataFrame:
+    """(doc, text, language): with_language() where doc is a struct of the row, so that no name can clash."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"))
+    return identify(packed, learn(docs.where(~held_out()), "doc_id", "text", "lang"))
+
+
 def op4_language_id(spark, sf_dir):
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
