@@ -3,10 +3,14 @@
 A softmax regression over hashed words, learned from a bounded sample of the labelled table, gives
 each document's posterior over domains. Each document gets a nonnegative rate, the expected number of
 its copies, such that the expected tokens of each domain, rate times tokens times posterior, come as
-near as can be to their targets. The least-squares problem is solved by projected gradient descent:
-rates start at one, and a step changes a document's rate by the domains' shortfalls weighted by its
-posterior, and never below zero. A step takes one aggregate over all documents, of a number for each
-domain; rates are columns and never leave the executors.
+near as can be to their targets. Tokens are those of a tokenizer, by token_counts. The least-squares
+problem is solved by projected gradient steps: rates start at one, and a step changes a document's rate
+by the domains' shortfalls weighted by its posterior, and never below zero. Shortfalls are scaled by the
+inverse of the domains' Gram matrix over the documents above zero, so that few steps do; where such a
+step gains little, three of four steps are plain ones, which always gain. A step takes one
+aggregate over all documents, of a few numbers for each domain; rates are columns and never leave the
+executors. Steps are taken until the targets are met or the shortfalls no longer change, which is
+where no rates come nearer; should neither happen, the fit fails.
 
 Defined cases: null and empty texts have no tokens, and keep the rate that their posterior, that of no
 words, asks for; labels that are null or of unknown documents teach nothing; without any label all
@@ -25,16 +29,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenogrid.llm.common import forget, release, small_batches, table, written
+from phenogrid.llm.common import forget, small_batches, table, written
 from phenogrid.llm.shingles import word_hashes
+from phenogrid.llm.token_counts import count_tokens
 
 #: Labelled documents of each domain that the classifier learns from, at most (about: they are drawn by a hash).
 LABELLED_PER_DOMAIN = 2500
 DIMENSIONS = 1 << 15
 #: Targets are met when no domain is off by more than this share of all tokens.
 TOLERANCE = 1e-4
-MOST_STEPS = 60
+#: Steps after which a fit that neither meets its targets nor settles is an error.
+MOST_STEPS = 300
 STEPS_A_TABLE = 8
+#: A plain step gains little if it lessens the squared shortfalls by a smaller share; three of these in a row end the fit.
+LITTLE = 3e-3
 
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
@@ -101,13 +109,12 @@ def learn_domains(docs: DataFrame, domains: DataFrame, names: list[str], id_col:
     return np.array([trained[k] for k in range(len(names))]) if trained else None
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray | None, classes: int, text_col: str, result_col: str = "_mix") -> DataFrame:
+def posteriors(docs: DataFrame, weights: np.ndarray | None, classes: int, text_col: str, result_col: str = "mix") -> DataFrame:
     """docs with a struct column (tokens, posterior)."""
     shared = docs.sparkSession.sparkContext.broadcast(None if weights is None else weights.astype(np.float32))
 
     @F.pandas_udf("tokens long, posterior array<double>")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        release()
         w = shared.value
         for texts in parts:
             rows = word_keys(texts)
@@ -121,71 +128,106 @@ def posteriors(docs: DataFrame, weights: np.ndarray | None, classes: int, text_c
     return docs.withColumn(result_col, predict(F.col(text_col).cast("string")))
 
 
-def rate_of(posterior: Column, pulls: list[list[float]]) -> Column:
-    """The rate after all steps: one, less at each step what the document's posterior makes of the pulls, never below zero."""
+def rate_of(posterior: Column, pulls: list[list[float]], start: Column | float = 1.0) -> Column:
+    """The rate after these steps: less, at each, what the document's posterior makes of its pull, never below zero."""
+    start = F.lit(start) if isinstance(start, float) else start
     if not pulls:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(v)) for v in pull]) for pull in pulls])
+        return start
 
     def step(x: Column, pull: Column) -> Column:
         return F.greatest(F.lit(0.0), x - sum((posterior[d] * pull[d] for d in range(len(pulls[0]))), F.lit(0.0)))
 
-    return F.aggregate(steps, F.lit(1.0), step)
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in pull]) for pull in pulls]), start, step)
 
 
-def fit_rates(rows: DataFrame, targets: list[float | None], tokens: str = "n_tokens", posterior: str = "posterior") -> list[list[float]]:
-    """The steps that rate_of() takes; targets are tokens of each domain, None for as many as it has.
+def fit_rates(rows: DataFrame, targets: list[float | None], tokens: str = "n_tokens", posterior: str = "posterior", most_steps: int | None = None) -> list[list[float]]:
+    """The pulls of rate_of(); targets are tokens of each domain, None for as many as it has.
 
     Only tokens and posteriors are read, and every few steps written with the rates so far.
     """
     k = len(targets)
     p = [F.element_at(posterior, d + 1) for d in range(k)]
-    base = rows.select(tokens, posterior)
-    sums = base.agg(*[F.coalesce(F.sum(F.col(tokens) * p[d]), F.lit(0.0)).alias(f"n{d}") for d in range(k)], *[F.coalesce(F.sum(F.col(tokens) * p[a] * p[b]), F.lit(0.0)).alias(f"m{a}_{b}") for a in range(k) for b in range(k)]).first()
-    has = np.array([sums[f"n{d}"] for d in range(k)])
+
+    def sums(base: DataFrame, x: Column) -> tuple[np.ndarray, np.ndarray]:
+        """What the domains come to at rates x, and their Gram matrix over the rows above zero."""
+        got = [F.coalesce(F.sum(F.col(tokens) * p[d] * F.col("x")), F.lit(0.0)) for d in range(k)]
+        gram = [F.coalesce(F.sum(F.when(F.col("x") > 0, F.col(tokens) * p[a] * p[b])), F.lit(0.0)) for a in range(k) for b in range(k)]
+        row = list(base.select(tokens, posterior, x.alias("x")).agg(*[c.alias(f"s{i}") for i, c in enumerate([*got, *gram])]).first())
+        return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
+
+    base, old, pulls, pending = rows.select(tokens, posterior, F.lit(1.0).alias("rate")), None, [], []
+    has, gram = sums(base, F.col("rate"))
     want = np.array([has[d] if targets[d] is None else targets[d] for d in range(k)])
-    scale = 1 / np.sqrt(np.maximum(has, 1.0))  # shortfalls count relative to what a domain has
-    gram = np.array([[sums[f"m{a}_{b}"] for b in range(k)] for a in range(k)]) * scale[:, None] * scale[None, :]
-    step = 1 / max(float(np.linalg.eigvalsh(gram).max()), 1e-12)
-    x, got, pulls, old = F.lit(1.0), has, [], None
+    weight = 1 / np.maximum(has, 1.0)  # shortfalls count relative to what a domain has
+    off = lambda got: float((((got - want) ** 2) * weight).sum())
     enough = TOLERANCE * max(1.0, float(want.sum()))
-    while len(pulls) < MOST_STEPS and np.abs(got - want).max() > enough:
-        pull = step * (got - want) * scale * scale
-        pulls.append([float(v) for v in pull])
-        x = F.greatest(F.lit(0.0), x - sum((p[d] * float(pull[d]) for d in range(k)), F.lit(0.0)))
-        if len(pulls) % STEPS_A_TABLE == 0:
-            base = written(base.select(tokens, posterior, x.alias("_rate")), "mix-rates")
-            x = F.col("_rate")
+    root = np.sqrt(weight)
+    steepest = max(float(np.linalg.eigvalsh(gram * root[:, None] * root[None, :]).max()), 1e-12)
+    got, length, settled, plain = has, 1.0, 0, False
+    for n in range(most_steps or MOST_STEPS):
+        if np.abs(got - want).max() <= enough or settled >= 3:
+            break
+        ridge = 1e-9 * max(1.0, float(np.trace(gram))) * np.eye(k)
+        move = weight * (got - want) / steepest if plain else length * np.linalg.solve(gram + ridge, got - want)
+        pull = [float(v) for v in move]
+        new, new_gram = sums(base, rate_of(F.col(posterior), [*pending, pull], F.col("rate")))
+        gain = (off(got) - off(new)) / off(got)
+        if plain:
+            settled, plain = settled + 1 if gain <= LITTLE else 0, n % 4 != 0
+        elif gain <= 0.01:
+            plain, length = True, max(length / 4, 0.01)
+        else:
+            length = min(1.0, 2 * length)
+        if gain <= 0:
+            continue
+        got, gram = new, new_gram
+        pending.append(pull)
+        if len(pending) >= STEPS_A_TABLE:
+            base = written(base.select(tokens, posterior, rate_of(F.col(posterior), pending, F.col("rate")).alias("rate")), "mix-rates")
+            pulls, pending = pulls + pending, []
             if old is not None:
                 forget(old)
             old = base
-        new = np.array(list(base.agg(*[F.coalesce(F.sum(F.col(tokens) * p[d] * x), F.lit(0.0)).alias(f"n{d}") for d in range(k)]).first()))
-        settled = np.abs(new - got).max() <= enough / 100
-        got = new
-        if settled:
-            break
-    return pulls
+    else:
+        raise RuntimeError(f"rates did not settle; the domains' tokens are {got.tolist()}, their targets {want.tolist()}")
+    return pulls + pending
 
 
 def copies(rate: Column, id_col: str, rounding: str) -> Column:
-    """Whole copies of a rate: nearest, or by a hash of the id, so that the expected number is the rate."""
-    if rounding == "nearest":
-        return F.floor(rate + 0.5)
-    return F.floor(rate + F.pmod(F.xxhash64(id_col, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30))
+    """Whole copies of a rate: by a hash of the id, so that the expected number is the rate; or, with `keep`, at least one from a rate of a half."""
+    drawn = F.floor(rate + F.pmod(F.xxhash64(id_col, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30))
+    return F.greatest(drawn, F.when(rate >= 0.5, 1).otherwise(0)) if rounding == "keep" else drawn
+
 
+def rate_documents(docs: DataFrame, domains: DataFrame, weights: dict[str, float | None], id_col: str = "doc_id", text_col: str = "text", rounding: str = "hash", budget: float | None = None, relative: bool = False, per_domain: int = LABELLED_PER_DOMAIN) -> DataFrame:
+    """(doc, n_tokens, posterior, rate, copies): doc is a struct of the row as it was.
 
-def mix(docs: DataFrame, domains: DataFrame, weights: dict[str, float | None], id_col: str = "doc_id", text_col: str = "text", rounding: str = "hash", budget: float | None = None, per_domain: int = LABELLED_PER_DOMAIN, keep: list[str] | None = None) -> DataFrame:
-    """docs, or their columns `keep`, with n_tokens, posterior, rate and copies. weights: each domain's share
-    of the budget, which is all tokens unless given, or None for the tokens that it is expected to have."""
+    weights: each domain's share of the budget, which is all tokens unless given; if relative, what its
+    expected tokens are to be multiplied by; None for the tokens that it is expected to have.
+    """
     names = list(weights)
     learned = learn_domains(docs, domains, names, id_col, text_col, per_domain)
-    scored = posteriors(docs, learned, len(names), text_col)
-    scored = written(scored.select(*[F.col(c) for c in keep or docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")], F.col("_mix.tokens").alias("n_tokens"), F.col("_mix.posterior").alias("posterior")), "mix")
-    if budget is None:
-        budget = float(scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
-    pulls = fit_rates(scored, [None if w is None else w * budget for w in weights.values()])
-    rated = scored.withColumn("rate", rate_of(F.col("posterior"), pulls))
-    return rated.withColumn("copies", copies(F.col("rate"), id_col, rounding))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    scored = count_tokens(posteriors(packed, learned, len(names), "text"), "text")
+    scored = written(scored.select("doc", "id", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("mix.posterior").alias("posterior")), "mix")
+    k = len(names)
+    if relative:
+        sums = scored.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.element_at("posterior", d + 1)), F.lit(0.0)) for d in range(k)]).first()
+        targets = [None if w is None else w * sums[d] for d, w in enumerate(weights.values())]
+    else:
+        if budget is None:
+            budget = float(scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+        targets = [None if w is None else w * budget for w in weights.values()]
+    steps = fit_rates(scored, targets)
+    rated = scored.withColumn("rate", rate_of(F.col("posterior"), steps))
+    return rated.select("doc", "n_tokens", "posterior", "rate", copies(F.col("rate"), "id", rounding).alias("copies"))
+
+
+def mix(docs: DataFrame, domains: DataFrame, weights: dict[str, float | None], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
+    """docs, or their columns `keep`, with n_tokens, posterior, rate and copies; options are those of rate_documents()."""
+    rated = rate_documents(docs, domains, weights, id_col, text_col, **options)
+    result = ["n_tokens", "posterior", "rate", "copies"]
+    return rated.select(*[F.col("doc")[c].alias(c) for c in keep or docs.columns if c not in result], *result)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -199,6 +199,37 @@ def test_language_edge_cases(docs, no_docs, rows):
     assert {r.language.lang for r in alone} == {"en"}
 
 
+def test_features_of_pieces(monkeypatch):
+    text = "Ein längerer Text, über Dörfer und Städte. " * 40
+    whole = language_id.features(text)
+    for piece in (1, 2, 7, 100):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert np.allclose(language_id.features(text), whole, atol=1e-6)
+
+
+def test_families_are_learned():
+    rng = np.random.default_rng(1)
+    base = rng.random((3, 50))
+    means = np.concatenate([b + rng.random((3, 50)) / 20 for b in base])
+    names = [f"{f}{i}" for f in "xyz" for i in range(3)]
+    assert language_id.group_languages(names, means) == {f + "0": [f + str(i) for i in range(3)] for f in "xyz"}
+    assert language_id.group_languages(["a"], means[:1]) == {"a": ["a"]}
+
+
+def test_machines_come_within_half_a_percent_of_the_optimum():
+    """Against plain gradient descent on the same objective."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(80, 5)), np.ones((80, 1))], axis=1).astype(np.float32)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=80) > 0.2, 1, -1)
+    share = np.where(y > 0, 80 / (2 * (y > 0).sum()), 80 / (2 * (y < 0).sum()))
+    loss = lambda w: 0.5 * (w @ w) + 10 * (share * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    w = np.zeros(6)
+    for _ in range(60_000):
+        w -= 1e-4 * (w - 20 * ((share * np.maximum(0, 1 - y * (x @ w)) * y) @ x))
+    got = language_id.train_svm(x, y, rounds=400)
+    assert loss(got.astype(float)) <= loss(w) * 1.005
+
+
 # Language-model scores.
 
 
@@ -289,6 +320,30 @@ def test_mixing_meets_targets(spark, medium):
     assert ((both.p_toxic > 0.5) == (both.toxic == 1)).mean() > 0.97
 
 
+@pytest.mark.parametrize("want", [(300.0, 250.0, 0.0), (0.0, 0.0, 2000.0)])
+def test_rates_are_as_near_as_can_be(spark, want):
+    """Against plain projected gradient steps, very many of them; the last targets can't be met."""
+    rng = np.random.default_rng(4)
+    n, p = rng.integers(0, 30, 60).astype(float), rng.dirichlet([0.7, 0.7, 0.7], 60)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+    steps = mixing.fit_rates(rows, list(want))
+    got = rows.withColumn("rate", mixing.rate_of(F.col("posterior"), steps)).toPandas()
+    a = (n[:, None] * p).T
+    has = a.sum(axis=1)
+    goal = np.array([h if w is None else w for h, w in zip(has, want, strict=True)])
+    off = lambda r: (((a @ r - goal) ** 2) / np.maximum(has, 1)).sum()
+    r = np.ones(60)
+    for _ in range(60_000):
+        r = np.maximum(0, r - 0.01 * (((a @ r - goal) / np.maximum(has, 1)) @ (a / np.maximum(n, 1))))
+    assert (got.rate >= 0).all() and off(got.rate.to_numpy()) <= 1.01 * off(r) + 1e-3 * max(1.0, goal.sum()) and len(steps) < mixing.MOST_STEPS
+
+
+def test_a_fit_that_does_not_settle_fails(spark):
+    rows = spark.createDataFrame([(10, [0.5, 0.5]), (20, [0.4, 0.6])], "n_tokens long, posterior array<double>")
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.fit_rates(rows, [0.0, 3.0], most_steps=1)
+
+
 def test_mixing_edge_cases(spark, docs, no_docs):
     labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(12, 30)] + [(None, "a"), (999, "b"), (5, None)], "id long, domain string")
     out = mixing.mix(docs, labels, {"a": 0.5, "b": 0.5})
