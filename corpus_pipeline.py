@@ -14,38 +14,45 @@ from phenogrid.llm.common import small_batches, table, written
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without text or letters go."""
+    """Documents whose language can be told: those of null, without text or without letters go; rows are judged one by one."""
     small_batches(spark)
-    return language_id.with_language(docs, result_col="_language").where(F.col("_language.lang") != language_id.UNKNOWN).select(docs.columns)
+    told = language_id.identify_rows(docs)
+    return told.where(F.col("language.lang") != language_id.UNKNOWN).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicate texts, that of the smallest id: five-word shingles, similarity 0.8.
+
+    Rows with a null id and texts without words stay.
+    """
     small_batches(spark)
-    return near_dedup.drop_near_duplicates(docs, size=5, threshold=0.8).select(docs.columns)
+    return near_dedup.drop_near_duplicates(docs, size=5, threshold=0.8)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which fewer than one word in twenty lies in a passage of the benchmark."""
+    """Documents of which fewer than one word in twenty lies in a passage of the benchmark; those without words stay."""
     small_batches(spark)
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), result_col="_found")
-    return found.where(~decontaminate.is_contaminated("_found")).select(docs.columns)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text"))
+    found = decontaminate.find_contamination(packed, table(spark, sf_dir, "benchmark"), result_col="found")
+    return found.where(~decontaminate.is_contaminated("found")).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens of good and of poor text as there are, and none of toxic text.
+    """A quarter more tokens of good text, as many of poor text as there are, and none of toxic text.
 
-    A document comes as many times as its rate, rounded, says; with these targets that is once, or
-    not at all for a document that the classifier takes for toxic.
+    A document comes as many times as its rate says, drawn by a hash of its id, and at least once if its
+    rate is a half or more: so documents taken for toxic go, and about a quarter of the good ones repeat.
+    A null or empty text has the rate of a text without words; without labels all stay as they are.
     """
     small_batches(spark)
     domains = mixing.label_domains(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, domains, {"high": None, "low": None, "toxic": 0.0}, rounding="nearest")
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    rated = mixing.rate_documents(docs, domains, {"high": 1.25, "low": None, "toxic": 0.0}, rounding="keep", relative=True)
+    repeated = rated.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all that is left; returns where each document lies in them."""
+    """Token files of all that is left, repeats included; returns where each document lies in them."""
     small_batches(spark)
     return token_files.token_digest(spark, docs)
 
