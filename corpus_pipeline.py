@@ -40,14 +40,16 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A quarter more tokens of good text, as many of poor text as there are, and none of toxic text.
 
-    A document comes as many times as its rate says, drawn by a hash of its id, and at least once if its
-    rate is a half or more: so documents taken for toxic go, and about a quarter of the good ones repeat.
-    A null or empty text has the rate of a text without words; without labels all stay as they are.
+    A document comes as many times as its rate says, drawn by a hash of its id, but at least once unless
+    it is more likely toxic than not: fitting totals must not cost clean documents. A null or empty text
+    has the rate of a text without words; without labels all documents stay as they are.
     """
     small_batches(spark)
     domains = mixing.label_domains(table(spark, sf_dir, "labels"))
-    rated = mixing.rate_documents(docs, domains, {"high": 1.25, "low": None, "toxic": 0.0}, rounding="keep", relative=True)
-    repeated = rated.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    rated = mixing.rate_documents(docs, domains, {"high": 1.25, "low": None, "toxic": 0.0}, relative=True)
+    least = F.when(F.element_at("posterior", 3) < 0.5, 1).otherwise(0)
+    times = F.greatest(F.col("copies").cast("int"), least)
+    repeated = rated.select("doc", F.explode(F.array_repeat(F.lit(0), times)))
     return repeated.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
