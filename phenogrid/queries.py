@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phenogrid.functions import codec, stats
 from phenogrid.operators import importance, metrics, model, rescore, views
 from phenogrid.plans import cohort, holdout, matrix, runs
+from phenogrid.sources import tables
 from phenogrid.sources.adapter import ctes, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,7 +583,8 @@ _JOB = ["group_type", "drug_or_class", "feature_type", "encoding"]
 
 
 def _whole(spark, d, encodings=("binary",)):
-    return _drug_matrix(spark, d, encodings=encodings).drop("strat_value")
+    """The matrix that models are fitted to, written as a run would have it."""
+    return tables.written(_drug_matrix(spark, d, encodings=encodings).drop("strat_value"), "matrix")
 
 
 @query("split_assignment")
@@ -613,14 +615,14 @@ def lr_top_features(spark, d):
 @query("mdr_performance")
 def mdr_performance(spark, d):
     settings, by = runs.Settings(grid=model.tuning_grid()), ["feature_type", "encoding"]
-    long = matrix.mdr_matrix(relation(spark, d, "resistant_classes"), _features(spark, d), encodings=("binary",))
+    long = tables.written(matrix.mdr_matrix(relation(spark, d, "resistant_classes"), _features(spark, d), encodings=("binary",)), "matrix")
     members = runs.assign(long, by, "resistant_classes", settings)
     return runs.performance(runs.fit(long, by, settings, "resistant_classes", members), by, settings, members, "resistant_classes").drop("run_time_sec", "date")
 
 
 @query("cross_stratum_models")
 def cross_stratum_models(spark, d):
-    part = _drug_matrix(spark, d, "year", ("binary",))
+    part = tables.written(_drug_matrix(spark, d, "year", ("binary",)), "matrix")
     by = ["group_type", "drug_or_class", "feature_type", "encoding", "train_strat", "test_strat"]
     jobs = holdout.cross_stratum_jobs(part).select(*by)
     train = part.withColumnRenamed("strat_value", "train_strat").join(jobs, by[:5])

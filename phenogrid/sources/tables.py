@@ -87,9 +87,17 @@ def read_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return df.na.fill("", ["strat_value"]) if "strat_value" in df.columns else df
 
 
-def write_result(result: DataFrame, folder: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
-    writer = result.write.mode(mode).option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
+def write_result(result: DataFrame, folder: str, partition_by: list[str]) -> None:
+    """Write a table in which the rows of a partition replace those of an earlier run; other partitions stay."""
+    result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partition_by).parquet(folder)
+
+
+def read_result(spark: SparkSession, folder: str) -> DataFrame | None:
+    """A table of write_result(), or None if there is none yet or it has no rows."""
+    if not any("=" in f.rpartition("/")[2] for f in _files(spark, folder)):
+        return None
+    df = spark.read.parquet(folder)
+    return df.withColumn("shuffled", F.col("shuffled").cast("boolean")) if "shuffled" in df.columns else df
 
 
 def read_results(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
@@ -98,6 +106,37 @@ def read_results(spark: SparkSession, folder: str, pattern: str = "*.parquet") -
     return df.withColumn("filename", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table of the folder that the driver and all executors share, so that it is computed once and outlives a lost executor.
+
+    The folder is spark.checkpoint.dir; only where a session has none, as in tests on one machine, is one made.
+    """
+    import atexit
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="phenogrid-")
+        sc.setCheckpointDir(shared)
+    path = f"{shared.rstrip('/')}/phenogrid/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+
+    def remove() -> None:
+        try:
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may have ended first
+            return
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_parameters(spark: SparkSession, folder: str, n_fold: int | None, split: tuple[float, float], seed: int) -> dict:
     train, val = split
     p = {"mode": "cv" if n_fold is not None else "splits", "n_fold": n_fold, "split": list(split), "train_prop": train, "val_prop": val, "test_prop": round(1 - train - val, 12), "seed": seed, "timestamp": time.strftime("%Y-%m-%d %H:%M:%S")}

@@ -157,7 +157,7 @@ def test_paths_solve_the_objective():
     y = (x[:, 0] - x[:, 1] + rng.normal(size=200) > 0).astype(int)
     hot = np.eye(2)[1 - y]
     for lam, mixture in ((0.05, 0.0), (0.05, 0.5), (0.02, 1.0)):
-        b, b0 = model.fit_path(x, hot, [lam], mixture, rounds=5000, tolerance=1e-10)[0]
+        b, b0, settled = model.fit_path(x, hot, [lam], mixture, rounds=5000, tolerance=1e-10)[0]
         p = 1 / (1 + np.exp(-(x @ b + b0)))
         slope = x.T @ (p - hot[:, :1]) / len(x) + lam * (1 - mixture) * b
         live = b != 0
@@ -196,6 +196,18 @@ def test_elimination(spark):
         runs.iterative_elimination(signal(spark).drop("job"), runs.Settings(grid=[(0.01, 0.0)]), [0.0001], by_vi=True)
 
 
+def test_runs_can_be_repeated_and_resumed(spark, tmp_path):
+    out, settings = f"{tmp_path}/ML", runs.Settings(n_fold=3, grid=[(0.01, 0.5)])
+    long = signal(spark).unionByName(signal(spark, seed=1).withColumn("job", F.lit("k")))
+    read = lambda name: sorted(str(r.asDict()) for r in tables.read_result(spark, f"{out}_{name}").drop("run_time_sec").select(sorted(c for c in tables.read_result(spark, f"{out}_{name}").columns if c != "run_time_sec")).collect())
+    runs.run_models(long.where("job = 'j'"), ["job"], out, settings)
+    runs.run_models(long, ["job"], out, settings, resume=True)
+    resumed = [read("performance"), read("pred"), read("top_features")]
+    runs.run_models(long, ["job"], out, settings)
+    assert [read("performance"), read("pred"), read("top_features")] == resumed
+    assert len(resumed[0]) == 2 and len(resumed[1]) == 24
+
+
 def test_selection_needs_a_rule(spark):
     with pytest.raises(ValueError):
         importance.top_features(spark.createDataFrame([], "variable string, importance double"), [], None, None)
@@ -290,7 +302,8 @@ def test_whole_run(spark, tmp_path):
     perf = spark.read.parquet(f"{d}/out/ML_performance")
     assert {(r.group_type, r.drug_or_class, r.encoding) for r in perf.collect()} == {("drug", "AMP", "binary"), ("drug", "CIP", "binary"), ("drug_class", "BL", "binary"), ("drug", "AMP", "counts"), ("drug", "CIP", "counts"), ("drug_class", "BL", "counts")}
     assert runs.unfinished(tables.read_matrix(spark, f"{d}/out/matrix").select(*runs.JOB).distinct(), perf, runs.JOB, settings.seed).count() == 0
-    assert runs.run_cross(spark, f"{d}/out", settings).where("kind = 'model'").count() == tables.read_matrix(spark, f"{d}/out/cross_drug_test").select("feature_type", "encoding", "ref_drug", "test_drug").distinct().count()
+    runs.run_cross(spark, f"{d}/out", settings)
+    assert spark.read.parquet(f"{d}/out/cross_test_ML_performance").count() == tables.read_matrix(spark, f"{d}/out/cross_drug_test").select("feature_type", "encoding", "ref_drug", "test_drug").distinct().count()
     runs.run_mdr(spark, f"{d}/out", settings)
     assert spark.read.parquet(f"{d}/out/MDR_ML_performance").count() == 2
 
