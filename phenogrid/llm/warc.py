@@ -32,6 +32,8 @@ CRLF = "\r\n"
 LEAST_REVISIT_BYTES = 100
 #: Records of a file at most, which bounds what a reader holds.
 FILE_RECORDS = 12_000
+#: Payloads that occur more than once, of some 100 bytes each, that are broadcast at most.
+BROADCAST_GROUPS = 400_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to array<string>, refers_to string, payload_digest string, content_type string, fields map<string,string>, payload_bytes long, payload_sha256 string, block binary"
@@ -60,7 +62,10 @@ def classify(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_b
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), _uri(F.col(url_col).cast("string")).alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
     # The join key is null for rows that can't repeat, and those never meet a group.
     sized = rows.withColumn("key", F.when((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull(), F.col("digest")))
-    groups = sized.where("key is not null").groupBy("key").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("key", "original")
+    groups = written(sized.where("key is not null").groupBy("key").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("key", "original"), "warc-groups")
+    # Payloads are shuffled only if the payloads that repeat are too many to be handed to every task.
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     joined = sized.withColumn("key", F.coalesce("key", F.concat(F.lit("-"), "digest"))).join(groups, "key", "left")
     return joined.withColumn("original", F.when(F.col("page_id") != F.col("original"), F.col("original"))).drop("key")
 
