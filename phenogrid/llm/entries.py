@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import ann, decontaminate, language_id, line_dedup, lm_score, mixing, near_dedup, token_counts, token_files, warc
+from phenogrid.llm import ann, bpe, decontaminate, language_id, line_dedup, lm_score, mixing, near_dedup, token_counts, token_files, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_token_files": token_files.op9_token_files,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_bpe": bpe.op11_bpe,
 }
 
 SQL: dict[str, str] = {
