@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import ann, bpe, decontaminate, language_id, line_dedup, lm_score, mixing, near_dedup, token_counts, token_files, warc
+from phenogrid.llm import alignment, ann, bpe, decontaminate, language_id, line_dedup, lm_score, mixing, near_dedup, token_counts, token_files, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_bpe": bpe.op11_bpe,
+    "op12_alignment": alignment.op12_alignment,
 }
 
 SQL: dict[str, str] = {
