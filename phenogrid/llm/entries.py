@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phenogrid.llm import alignment, ann, bpe, decontaminate, language_id, line_dedup, lm_score, mixing, near_dedup, token_counts, token_files, warc
+from phenogrid.llm import alignment, ann, bpe, decontaminate, language_id, line_dedup, lm_score, mixing, near_dedup, phrases, token_counts, token_files, warc
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_bpe": bpe.op11_bpe,
     "op12_alignment": alignment.op12_alignment,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 SQL: dict[str, str] = {
     "op3_warc": warc.SQL,
     "op5_near_dedup": near_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op13_phrases": phrases.SQL,
 }
