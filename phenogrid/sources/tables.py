@@ -87,13 +87,14 @@ def read_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return df.na.fill("", ["strat_value"]) if "strat_value" in df.columns else df
 
 
-def write_result(result: DataFrame, folder: str, partition_by: list[str]) -> None:
-    """Write a table in which the rows of a partition replace those of an earlier run; other partitions stay."""
-    result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partition_by).parquet(folder)
+def write_result(result: DataFrame, folder: str, values: dict[str, object]) -> None:
+    """Write a table's partition of these values: its rows replace all that an earlier run wrote there, even if there are none now; other partitions stay."""
+    place = "/".join([folder.rstrip("/"), *(f"{c}={str(v).lower() if isinstance(v, bool) else v}" for c, v in values.items())])
+    result.drop(*values).write.mode("overwrite").option("compression", "zstd").parquet(place)
 
 
 def read_result(spark: SparkSession, folder: str) -> DataFrame | None:
-    """A table of write_result(), or None if there is none yet or it has no rows."""
+    """A table of write_result(), or None if there is none yet."""
     if not any("=" in f.rpartition("/")[2] for f in _files(spark, folder)):
         return None
     df = spark.read.parquet(folder)
