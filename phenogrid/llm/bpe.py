@@ -23,6 +23,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,10 @@ CACHE_WORDS, CACHE_LETTERS = 500_000, 64
 #: Letters of texts that are split into words before they are encoded together.
 BLOCK_LETTERS = 4_000_000
 
-NEVER = np.iinfo(np.int64).max
+#: Letters up to which a word is merged by looking through its pairs, and not by a heap.
+SHORT_WORD = 40
+
+NEVER = int(np.iinfo(np.int64).max)
 
 # The pre-tokenizer for which there is a shorter way, and the characters on which it and this module agree.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -65,14 +69,15 @@ class Merges:
         self.size, self.left, self.right = size, np.full(size, -1), np.full(size, -1)
         self.birth, self.known, self.sound = np.full(size, -1, np.int64), np.zeros(size, bool), True
         keys = np.empty(len(merges), np.int64)
-        self.made = np.empty(len(merges), np.int64)
+        self.wholes = []
         for rank, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             # A token that two merges make, or that is part of an earlier merge, has no one time.
             self.sound &= self.birth[whole] < 0 and self.birth[left] < rank and self.birth[right] < rank
             self.left[whole], self.right[whole], self.birth[whole] = left, right, rank
-            keys[rank], self.made[rank] = left * size + right, whole
+            keys[rank] = left * size + right
+            self.wholes.append(whole)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
         self.pairs = {int(k): r for r, k in reversed(list(enumerate(keys)))}
@@ -117,7 +122,23 @@ class Merges:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging by rank, of equal ones the leftmost first."""
-        ids, n = list(ids), len(ids)
+        return self._merge_short(list(ids)) if len(ids) <= SHORT_WORD else self._merge_long(list(ids))
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        size, rank = self.size, self.pairs.get
+        ranks = [rank(a * size + b, NEVER) for a, b in pairwise(ids)]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            new = ids[i] = self.wholes[least]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] * size + new, NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(new * size + ids[i + 1], NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        n = len(ids)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get(ids[i] * self.size + ids[i + 1])) is not None]
         heapq.heapify(heap)
@@ -126,7 +147,7 @@ class Merges:
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = int(self.made[rank]), -1
+            ids[i], ids[j] = self.wholes[rank], -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
@@ -160,7 +181,11 @@ class WordCoder:
         self.single = {c: (vocab[c], vocab[c + self.suffix]) for c in self.letters if c in vocab and c + self.suffix in vocab}
         if len(self.single) < 256:
             raise ValueError(f"{path} has no token for some bytes")
-        self.longest = max(map(len, [*self.inner, *self.last]))
+        # The longest token of each three first letters.
+        self.reach: dict[str, int] = {}
+        for token in [*self.inner, *self.last]:
+            if len(token) > 2:
+                self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
         self.added = {a["content"]: a["id"] for a in added}
         names = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
@@ -212,14 +237,20 @@ class WordCoder:
         if whole is not None:
             return [whole]
         out, at, n = [], 0, len(word)
+        inner, last, reach = self.inner, self.last, self.reach
         while at < n:
-            rest = n - at
-            for size in range(min(self.longest, rest), 0, -1):
-                found = (self.last if size == rest else self.inner).get(word[at : at + size])
+            end = min(n, at + reach.get(word[at : at + 3], 2))
+            if end == n:
+                found = last.get(word[at:])
                 if found is not None:
+                    out.append(found)
                     break
+                # A word's last letter is a token of another kind.
+                end = n - 1
+            while (found := inner.get(word[at:end])) is None:
+                end -= 1
             out.append(found)
-            at += size
+            at = end
         return out
 
     def merged(self, word: str) -> list[int]:
@@ -265,7 +296,9 @@ class WordCoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's text of ids, added tokens included; numbers that the file hasn't are left out."""
-        tokens = [t for i in ids if (t := self.names.get(i)) is not None]
+        tokens = list(map(self.names.get, ids))
+        if None in tokens:
+            tokens = [t for t in tokens if t is not None]
         return self.tokenizer.decoder.decode(tokens) if self.tokenizer.decoder else " ".join(tokens)
 
 
@@ -298,7 +331,9 @@ def decode_bpe(ids: Column | str, path: str | None = None) -> Column:
     def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = word_coder(path)
         for part in parts:
-            yield pa.array([None if r is None else coder.decode(r) for r in part.to_pylist()], pa.string())
+            ids, missing = part.flatten().to_numpy(zero_copy_only=False).tolist(), part.is_null().to_pylist()
+            ends = np.concatenate([[0], np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+            yield pa.array([None if no else coder.decode(ids[a:b]) for no, (a, b) in zip(missing, pairwise(ends), strict=True)], pa.string())
 
     decode.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(decode, T.StringType())(ids)
