@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenogrid import result_queries
 from phenogrid.functions import codec, stats
 from phenogrid.operators import importance, metrics, model, rescore, views
 from phenogrid.plans import cohort, holdout, matrix, runs
 from phenogrid.sources import tables
 from phenogrid.sources.adapter import ctes, relation
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(result_queries.QUERIES)
+SQL: dict[str, str] = dict(result_queries.SQL)
 
 
 def query(name: str, sql: str | None = None):

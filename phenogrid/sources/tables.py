@@ -107,8 +107,8 @@ def read_results(spark: SparkSession, folder: str, pattern: str = "*.parquet") -
     return df.withColumn("filename", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table of the folder that the driver and all executors share, so that it is computed once and outlives a lost executor.
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that the driver and all executors share, removed when this process ends.
 
     The folder is spark.checkpoint.dir; only where a session has none, as in tests on one machine, is one made.
     """
@@ -116,7 +116,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     import tempfile
     import uuid
 
-    spark = df.sparkSession
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not shared:
@@ -125,7 +124,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         shared = "file://" + tempfile.mkdtemp(prefix="phenogrid-")
         sc.setCheckpointDir(shared)
     path = f"{shared.rstrip('/')}/phenogrid/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
 
     def remove() -> None:
         try:
@@ -135,7 +133,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
             return
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table of the shared folder, so that it is computed once and outlives a lost executor."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_parameters(spark: SparkSession, folder: str, n_fold: int | None, split: tuple[float, float], seed: int) -> dict:
