@@ -196,8 +196,9 @@ def matrix_mdr(spark, d):
 _DIGEST = "count(*) as n_rows, count(distinct genome_id) as n_genomes, sum(value) as total, count(case when phenotype = 'Resistant' then 1 end) as n_resistant"
 
 
-def _digest(rows, job):
-    return rows.groupBy(*job, "feature_id").agg(F.count("*").alias("n_rows"), F.countDistinct("genome_id").alias("n_genomes"), F.sum("value").alias("total"), F.count(F.when(F.col("phenotype") == "Resistant", 1)).alias("n_resistant"))
+def _stored(spark, d, strat=None):
+    """A matrix as a run has it: written once, read by each that needs it."""
+    return tables.written(_drug_matrix(spark, d, strat), "matrix")
 
 
 def _usable_sql(rows: str, job: str) -> str:
@@ -221,14 +222,19 @@ def _loo_out(strat: str) -> str:
 _LOO_JOB = ["group_type", "drug_or_class", "feature_type", "encoding", "leaveout"]
 
 
+def _loo_sums(m):
+    members = tables.written(holdout.members_of(m), "members")
+    return holdout.feature_sums(m, holdout.stratum_out_members(members), "leaveout", _LOO_JOB)
+
+
 @query("loo_year", _loo_out("year"))
 def loo_year(spark, d):
-    return _digest(holdout.leave_stratum_out(_drug_matrix(spark, d, "year")), _LOO_JOB)
+    return _loo_sums(_stored(spark, d, "year"))
 
 
 @query("loo_country", _loo_out("country"))
 def loo_country(spark, d):
-    return _digest(holdout.leave_stratum_out(_drug_matrix(spark, d, "country")), _LOO_JOB)
+    return _loo_sums(_stored(spark, d, "country"))
 
 
 _DRUG_M = _MATRIX[None].rstrip() + ",\ndm as (select * from matrix where group_type = 'drug'),\nseen as (select distinct feature_type, encoding, drug_or_class as ref, genome_id from dm),\n"
@@ -242,7 +248,9 @@ _DRUG_M = _MATRIX[None].rstrip() + ",\ndm as (select * from matrix where group_t
 select feature_type, encoding, leaveout, feature_id, {_DIGEST} from pooled join usable using (feature_type, encoding, leaveout) group by all""",
 )
 def loo_drug(spark, d):
-    return _digest(holdout.leave_drug_out(_drug_matrix(spark, d)), ["feature_type", "encoding", "leaveout"])
+    m = _stored(spark, d)
+    members = tables.written(holdout.members_of(m), "members")
+    return holdout.feature_sums(m, holdout.drug_out_members(members), "leaveout", ["feature_type", "encoding", "leaveout"])
 
 
 _CROSS = _DRUG_M + f"""pooled as (select m.feature_type, m.encoding, r.ref as ref_drug, m.drug_or_class as test_drug, m.genome_id, m.feature_id, m.value, m.phenotype from dm m join (select distinct feature_type, encoding, ref from seen) r using (feature_type, encoding)
@@ -254,7 +262,10 @@ tests as (select * from pooled join usable using (feature_type, encoding, ref_dr
 
 @query("cross_drug_test", _CROSS + f"select feature_type, encoding, ref_drug, test_drug, feature_id, {_DIGEST} from tests group by all")
 def cross_drug_test(spark, d):
-    return _digest(holdout.cross_drug_tests(_drug_matrix(spark, d)), ["feature_type", "encoding", "ref_drug", "test_drug"])
+    m = _stored(spark, d)
+    members = tables.written(holdout.members_of(m), "members")
+    sums = holdout.feature_sums(m, holdout.cross_drug_members(members), "ref_drug", ["feature_type", "encoding", "ref_drug", "drug_or_class"])
+    return sums.withColumnRenamed("drug_or_class", "test_drug")
 
 
 @query("job_catalog_standard", _MATRIX["year"] + "select distinct group_type, drug_or_class, strat_value, feature_type, encoding, concat_ws('_', group_type, drug_or_class, strat_value, feature_type, encoding) as job from matrix")
@@ -276,8 +287,8 @@ def job_catalog_cross_stratum(spark, d):
 
 @query("job_catalog_cross_drug", _CROSS + "select distinct feature_type, encoding, ref_drug, test_drug, concat_ws('_', 'drug', ref_drug, 'cross_tested_on', test_drug, feature_type, encoding) as job from tests")
 def job_catalog_cross_drug(spark, d):
-    m = _drug_matrix(spark, d)
-    return holdout.cross_drug_jobs(m, holdout.cross_drug_tests(m))
+    members = tables.written(holdout.members_of(_drug_matrix(spark, d)), "members")
+    return holdout.cross_drug_jobs(members, holdout.cross_drug_members(members).withColumnRenamed("drug_or_class", "test_drug"))
 
 
 @query(
@@ -287,8 +298,8 @@ def job_catalog_cross_drug(spark, d):
 from usable u join (select distinct group_type, drug_or_class, feature_type, encoding, strat_value as leaveout from matrix) m using (group_type, drug_or_class, feature_type, encoding, leaveout)""",
 )
 def job_catalog_loo_cross(spark, d):
-    m = _drug_matrix(spark, d, "year")
-    return holdout.loo_cross_jobs(holdout.leave_stratum_out(m), m)
+    members = tables.written(holdout.members_of(_drug_matrix(spark, d, "year")), "members")
+    return holdout.loo_cross_jobs(holdout.stratum_out_members(members), members)
 
 
 _NAME = "concat(case when shuffled then 'shuffled_' else '' end, species, '_', case when seed = 1 then 'drug_class' else 'drug' end, '_', drug_or_class, '_', feature_type, '_', feature_subtype, '_', cast(seed as string), '_performance.parquet')"

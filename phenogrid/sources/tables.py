@@ -74,7 +74,7 @@ def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_matrix(matrix: DataFrame, folder: str, partition_by: list[str]) -> None:
     """One table for all jobs, a folder for each; rows within a file in order of genome and feature."""
-    ordered = matrix.repartition(*partition_by, F.pmod(F.xxhash64("genome_id"), F.lit(16))).sortWithinPartitions(*partition_by, "genome_id", "feature_id")
+    ordered = matrix.repartition(*partition_by, F.pmod(F.xxhash64("genome_id"), F.lit(16))).sortWithinPartitions(*partition_by, "genome_id", *[c for c in ("feature_id",) if c in matrix.columns])
     ordered.write.mode("overwrite").partitionBy(*partition_by).option("compression", "zstd").parquet(folder)
     # A partitioned table without rows has no file that tells its columns.
     _write_text(matrix.sparkSession, f"{folder.rstrip('/')}.schema.json", matrix.schema.json())
