@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from phenogrid.llm.common import release, small_batches, table, written
 
 MIN_COUNT, LONGEST, SHARE, FIRST = 10, 3, 50, 2000
-#: Buckets are 2 to the power of this, each bitmap an eighth of that in bytes. More are of use from some 10**8 distinct phrases on.
-BUCKET_BITS = 24
+#: Buckets are 2 to the power of this: a task holds a byte for each, and a bitmap a bit. They prune well while distinct phrases are up to a few times as many; a larger corpus wants more.
+BUCKET_BITS = 26
 #: Bytes of text that a task looks at together, and distinct words and phrases that it holds before it writes them.
 BLOCK_BYTES, HELD_WORDS, HELD_PHRASES = 8 << 20, 1_000_000, 1_000_000
 SEGMENT = 1 << 16
