@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phenogrid.functions import prefix
 from phenogrid.labels import PHENOTYPES, RESISTANT
+from phenogrid.sources import tables
 
 ALTERNATIVES = ("two.sided", "greater", "less")
 
@@ -22,8 +25,13 @@ def log_gamma(x: Column) -> Column:
     return F.when(x < 8, series - F.log(rise)).otherwise(series)
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
+#: Up to here log-factorials are looked up in a table that is part of the expression; beyond, a series gives them.
+TABLE_SIZE = 10_000
+
+
+def log_factorials(most: int) -> Column:
+    """An array of the logs of the factorials of 0, 1, ..., summed up one by one."""
+    return F.lit([0.0, *accumulate(math.log(i) for i in range(1, most + 1))])
 
 
 def _with_totals(per: DataFrame, totals: DataFrame, by: list[str] | None) -> DataFrame:
@@ -50,43 +58,57 @@ def contingency(features: DataFrame, genomes: DataFrame, by: list[str] | None =
     return both.select(*by, "feature_id", "a", (F.col("res") - F.col("a") - F.col("odd_r")).alias("b"), "c", (F.col("every") - F.col("res") - F.col("c") - F.col("odd_s")).alias("d"))
 
 
-def fisher_p(a: Column, b: Column, c: Column, d: Column, alternative: str = "two.sided") -> Column:
-    """The p value of Fisher's exact test: of tables with the same margins, those as unlikely or as far out."""
+def fisher_p(a: Column, b: Column, c: Column, d: Column, alternative: str = "two.sided", most: int | None = None) -> Column:
+    """The p value of Fisher's exact test: of tables with the same margins, those as unlikely or as far out.
+
+    most: the largest total of a table, if it is known; logs of factorials up to it come from one table.
+    """
     if alternative not in ALTERNATIVES:
         raise ValueError(f"alternative must be one of {ALTERNATIVES}")
+    if most is not None and most <= TABLE_SIZE:
+        logs = log_factorials(most)
+        log_f = lambda n: F.element_at(logs, n.cast("int") + 1)
+    else:
+        log_f = lambda n: log_gamma(n.cast("double") + 1.0)
     m, n, k = a + b, c + d, a + c
-    log_p = lambda x: log_choose(m.cast("double"), x) + log_choose(n.cast("double"), k - x) - log_choose((m + n).cast("double"), k.cast("double"))
+    margins = log_f(m) + log_f(n) + log_f(k) + log_f(b + d) - log_f(m + n)
+    log_p = lambda x: margins - log_f(x) - log_f(m - x) - log_f(k - x) - log_f(n - k + x)
     lo, hi = F.greatest(F.lit(0).cast("long"), k - n), F.least(k, m)
-    tables = F.transform(F.sequence(lo, hi), lambda x: F.struct(x.alias("x"), F.exp(log_p(x.cast("double"))).alias("p")))
-    seen = F.exp(log_p(a.cast("double")))
+    tables_ = F.transform(F.sequence(lo, hi), lambda x: F.struct(x.alias("x"), F.exp(log_p(x)).alias("p")))
+    seen = F.exp(log_p(a))
     if alternative == "two.sided":
-        far = F.filter(tables, lambda t: t["p"] <= seen * (1 + 1e-7))
+        far = F.filter(tables_, lambda t: t["p"] <= seen * (1 + 1e-7))
     elif alternative == "greater":
-        far = F.filter(tables, lambda t: t["x"] >= a)
+        far = F.filter(tables_, lambda t: t["x"] >= a)
     else:
-        far = F.filter(tables, lambda t: t["x"] <= a)
+        far = F.filter(tables_, lambda t: t["x"] <= a)
     return F.least(F.lit(1.0), F.aggregate(far, F.lit(0.0), lambda s, t: s + t["p"]))
 
 
 def fisher_tests(features: DataFrame, genomes: DataFrame, alternative: str = "two.sided", by: list[str] | None = None) -> DataFrame:
     """(by, feature_id, a, b, c, d, p_value)."""
-    t = contingency(features, genomes, by)
+    t = tables.written(contingency(features, genomes, by), "contingency")
     # Tables repeat between features; each is summed up once.
     distinct = t.select("a", "b", "c", "d").distinct()
-    scored = distinct.withColumn("p_value", fisher_p(*[F.col(x) for x in "abcd"], alternative))
+    most = t.agg(F.max(F.col("a") + F.col("b") + F.col("c") + F.col("d"))).first()[0] or 0
+    scored = distinct.withColumn("p_value", fisher_p(*[F.col(x) for x in "abcd"], alternative, int(most)))
     return t.join(scored, ["a", "b", "c", "d"]).select(*(by or []), "feature_id", "a", "b", "c", "d", "p_value")
 
 
 def benjamini_hochberg(tests: DataFrame, q: float = 0.05, by: list[str] | None = None) -> DataFrame:
-    """tests with adj_p_value and significant: the step-up procedure over each group of `by`, or all tests."""
-    keys = by or [F.lit(0)]
-    ordered = Window.partitionBy(*keys).orderBy("p_value", "feature_id")
-    every = Window.partitionBy(*keys)
-    onward = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = tests.withColumn("_n", F.count("*").over(every)).withColumn("_rank", F.row_number().over(ordered))
-    adjusted = ranked.withColumn("adj_p_value", F.least(F.lit(1.0), F.min(F.col("p_value") * F.col("_n") / F.col("_rank")).over(onward)))
-    rejected = adjusted.withColumn("_rejected", F.sum(F.when(F.col("adj_p_value") <= q, 1).otherwise(0)).over(every))
-    return rejected.withColumn("significant", F.col("_rank") <= F.col("_rejected")).drop("_n", "_rank", "_rejected")
+    """tests with adj_p_value and significant: the step-up procedure over each group of `by`, or all tests.
+
+    Equal p values have one adjusted value, that of the last of them, and all up to the last rejected one
+    are rejected; so the procedure runs over distinct p values with their counts, in ranges of them.
+    """
+    by = by or []
+    counts = tables.written(tests.where("p_value is not null").groupBy(*by, "p_value").agg(F.count("*").alias("_k")), "p-values")
+    every = counts.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    ranked = prefix.running_sum(prefix.in_ranges(counts, "p_value"), by, "p_value", "_k", "_rank")
+    ranked = ranked.join(every, by) if by else ranked.crossJoin(F.broadcast(every))
+    stepped = prefix.running_min_from_end(ranked.withColumn("_step", F.col("p_value") * F.col("_n") / F.col("_rank")), by, "p_value", "_step", "_least")
+    adjusted = stepped.select(*by, "p_value", F.least(F.lit(1.0), "_least").alias("adj_p_value"))
+    return tests.join(adjusted, [*by, "p_value"], "left").select(*tests.columns, "adj_p_value", (F.col("adj_p_value") <= q).alias("significant"))
 
 
 def feature_freq(features: DataFrame, genomes: DataFrame, by: list[str] | None = None) -> DataFrame:

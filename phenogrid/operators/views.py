@@ -66,14 +66,19 @@ def baseline_comparison(model: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def volcano(tests: DataFrame, label_top_n: int = 10) -> DataFrame:
-    """Tests ranked by adjusted p value, with -log10 of it and labels for the first."""
-    ranked = tests.withColumn("rank", F.row_number().over(Window.orderBy("adj_p_value", "feature_id")))
-    return ranked.withColumn("neg_log10", -F.log10("adj_p_value")).withColumn("label", F.when(F.col("rank") <= label_top_n, F.col("feature_id")))
+    """Tests with -log10 of the adjusted p value, and rank and label of the first by it, names breaking ties."""
+    first = tests.orderBy("adj_p_value", "feature_id").limit(label_top_n).agg(F.collect_list(F.struct("adj_p_value", "feature_id")).alias("_rows"))
+    # One row of as many names as get a label.
+    place = F.array_position(F.transform(F.array_sort("_rows"), lambda r: r["feature_id"]), F.col("feature_id"))
+    ranked = tests.crossJoin(F.broadcast(first)).withColumn("rank", F.when(place > 0, place)).drop("_rows")
+    return ranked.withColumn("neg_log10", -F.log10("adj_p_value")).withColumn("label", F.when(F.col("rank").isNotNull(), F.col("feature_id")))
 
 
 def top_variables(top: DataFrame, n: int = 10) -> DataFrame:
-    """The n most important variables, and any that tie with the last."""
-    return top.withColumn("rank", F.rank().over(Window.orderBy(F.desc("importance")))).where(F.col("rank") <= n)
+    """The n most important variables, and any that tie with the last; equal ones have equal ranks."""
+    first = top.where("importance is not null").orderBy(F.desc("importance")).limit(n).agg(F.collect_list("importance").alias("_first"))
+    kept = top.crossJoin(F.broadcast(first)).where(F.col("importance") >= F.array_min("_first"))
+    return kept.withColumn("rank", F.size(F.filter("_first", lambda x: x > F.col("importance"))) + 1).drop("_first")
 
 
 def top_clusters(top: DataFrame, clusters: DataFrame, names: DataFrame, top_n: int = 10) -> DataFrame:
