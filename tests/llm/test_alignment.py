@@ -45,6 +45,10 @@ def plain(own):
     return align
 
 
+def columns(own, texts):
+    return [x.to_pylist() for x in Aligned(own.lengths, *own.stored(texts)).columns()]
+
+
 def digest(text, plain, counts, best):
     a, b, m, n = plain(text)
     i, j = np.cumsum(m) - 1, np.cumsum(n) - 1
@@ -69,25 +73,25 @@ def brute(texts, plain):
 
 def test_fuzzed_texts(own, plain):
     rng = random.Random(1)
-    letters = [*"abcdeÉİı日本語 \t\n\x0b\x85\xa0 　'0123²½.,;!?-_<|>​́Å가😀\x00\x1c\r▁  ", "  ", "\n\n", "</s>", "<s>", "<0x41>", "<|endoftext|>", " the", "The", ");\r\n"]
+    letters = [*"  abcdeÉİı日本語 \t\n\x0b\x85\xa0 　'0123²½.,;!?-_<|>​́Å가😀\x00\x1c\r▁  ", "  ", "\n\n", "</s>", "<s>", "<0x41>", "<|endoftext|>", " the", "The", ");\r\n"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     texts += [None, "", "▁", " ", "   ", "a ", "\n", "x" * 5000, "word " * 3000]
     assert own.cut
     expected = [tuple(plain(t)) for t in texts]
-    got = [x.to_pylist() for x in Aligned(own, texts).columns()]
+    got = columns(own, texts)
     assert [tuple(g[k] for g in got) for k in range(len(texts))] == expected
     assert 50 < sum(not e[0] for e in expected) < 4000
     whole = Aligner(default_path("byte_bpe_50k.json"), default_path("piece_bpe_32k.model"))
     whole.cut = False
-    assert Aligned(whole, texts[:500]).columns()[1] == Aligned(own, texts[:500]).columns()[1]
+    assert columns(whole, texts[:500]) == columns(own, texts[:500])
 
 
 def test_small_cache_and_blocks(own, plain, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK_LETTERS", 10)
     small = Aligner(default_path("byte_bpe_50k.json"), default_path("piece_bpe_32k.model"), entries=3)
     texts = ["one two three four", None, "one two five six seven eight", "one", ""] * 3
-    assert [x.to_pylist() for x in Aligned(small, texts).columns()] == [list(x) for x in zip(*map(plain, texts), strict=True)]
-    assert len(small.cache) <= 3
+    assert columns(small, texts) == [list(x) for x in zip(*map(plain, texts), strict=True)]
+    assert len(small.young) + len(small.old) < 12 and len(small.a.words) + len(small.a.words.old) <= 3
 
 
 def test_records_keep_the_order():
@@ -114,17 +118,18 @@ def test_pair_counts_over_many_shards(spark, tmp_path):
     assert got == {(k & (1 << 24) - 1, k >> 24): n for k, n in expected.items()}
 
 
-def test_gathered_keys_are_bounded(spark, docs, monkeypatch):
-    whole = {r.key: r.n for r in alignment.partial_counts(docs).groupBy("key").sum("n").toDF("key", "n").collect()}
+def test_shards_hold_the_sums_of_partial_counts(spark, docs):
+    tokens = alignment.tokenize(docs)
+    whole = {r.key: r.n for r in alignment.partial_counts(tokens).groupBy("key").sum("n").toDF("key", "n").collect()}
     assert sum(whole.values()) > 30_000
-    folder = alignment.count_pairs(docs)
+    folder = alignment.count_pairs(tokens)
     read = {alignment.pack(np.int64(r.a_id), np.int64(r.b_id)).item(): r.n for r in alignment.read_pair_counts(spark, folder).collect()}
     assert read == whole
 
 
 def test_operator_keeps_columns(spark, docs, rows, plain):
     counts, best = brute([r[1] for r in rows], plain)
-    got = alignment.align(docs, alignment.count_pairs(docs), result_col="language").collect()
+    got = alignment.align(docs, result_col="language").collect()
     for r in got:
         a, b, m, n = plain(r.text)
         links = [(a[x], b[y]) for x, y in zip(np.cumsum(m) - 1, np.cumsum(n) - 1, strict=True)]
@@ -136,7 +141,7 @@ def test_operator_keeps_columns(spark, docs, rows, plain):
 
 def test_texts_of_another_corpus(spark, docs, no_docs):
     other = spark.createDataFrame([("never seen before: zyzzyva",)], "text string")
-    row = alignment.align(other, alignment.count_pairs(no_docs)).first().aligned
+    row = alignment.align_tokens(alignment.tokenize(other), alignment.count_pairs(alignment.tokenize(no_docs))).first().aligned
     assert row.a_ids and set(row.counts) == {0} and set(row.best) == {True}
 
 
