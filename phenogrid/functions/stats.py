@@ -34,19 +34,20 @@ def log_factorials(most: int) -> Column:
     return F.lit([0.0, *accumulate(math.log(i) for i in range(1, most + 1))])
 
 
-def _with_totals(per: DataFrame, totals: DataFrame, by: list[str] | None) -> DataFrame:
+def _with_totals(per: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     return per.join(totals, by) if by else per.crossJoin(F.broadcast(totals))
 
 
 def contingency(features: DataFrame, genomes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, feature_id, a, b, c, d): present and absent among resistant, present and absent among susceptible.
 
-    genomes: (by, genome_id, phenotype), one row each of a group, both phenotypes alone. Features are long,
-    the same for all groups; a genome without a row for a feature hasn't it. Values other than zero and one
+    genomes: (genome_id, phenotype) and columns of `by`, one row each of a group, both phenotypes alone. Features
+    are long, the same for all groups, and may have columns of `by` that genomes haven't (a type); a genome without a row for a feature hasn't it. Values other than zero and one
     are left out of the table.
     """
     by = by or []
-    totals = genomes.groupBy(*by).agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.count("*").alias("every"))
+    own = [c for c in by if c in genomes.columns]
+    totals = genomes.groupBy(*own).agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.count("*").alias("every"))
     rows = features.join(genomes, "genome_id")
     one = lambda phenotype, cond: F.sum(F.when((F.col("phenotype") == RESISTANT) == F.lit(phenotype), F.when(cond, 1)).otherwise(0))
     odd = ~F.col("value").isin(0.0, 1.0)
@@ -54,7 +55,7 @@ def contingency(features: DataFrame, genomes: DataFrame, by: list[str] | None =
         F.coalesce(one(True, F.col("value") == 1), F.lit(0)).alias("a"), F.coalesce(one(False, F.col("value") == 1), F.lit(0)).alias("c"),
         F.coalesce(one(True, odd), F.lit(0)).alias("odd_r"), F.coalesce(one(False, odd), F.lit(0)).alias("odd_s"),
     )
-    both = _with_totals(per, totals, by)
+    both = _with_totals(per, totals, own)
     return both.select(*by, "feature_id", "a", (F.col("res") - F.col("a") - F.col("odd_r")).alias("b"), "c", (F.col("every") - F.col("res") - F.col("c") - F.col("odd_s")).alias("d"))
 
 
@@ -114,9 +115,10 @@ def benjamini_hochberg(tests: DataFrame, q: float = 0.05, by: list[str] | None =
 def feature_freq(features: DataFrame, genomes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, feature_id, freq_resistant, freq_susceptible): the share of each phenotype's genomes with value one."""
     by = by or []
-    totals = genomes.groupBy(*by).agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.sum(F.when(F.col("phenotype") == RESISTANT, 0).otherwise(1)).alias("sus"))
+    own = [c for c in by if c in genomes.columns]
+    totals = genomes.groupBy(*own).agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.sum(F.when(F.col("phenotype") == RESISTANT, 0).otherwise(1)).alias("sus"))
     per = features.join(genomes, "genome_id").groupBy(*by, "feature_id").agg(*[F.sum(F.when((F.col("phenotype") == p) & (F.col("value") == 1), 1).otherwise(0)).alias(n) for p, n in zip(PHENOTYPES, ("r", "s"), strict=True)])
-    both = _with_totals(per, totals, by)
+    both = _with_totals(per, totals, own)
     return both.select(*by, "feature_id", F.try_divide("r", "res").alias("freq_resistant"), F.try_divide("s", "sus").alias("freq_susceptible"))
 
 

@@ -315,45 +315,90 @@ def filename_codec(spark, d):
     return names.select("name", *codec.standard_fields(F.col("name")))
 
 
-# Fisher's tests: the genes of drug P1's cohort.
+# Fisher's tests: every feature of every group's cohort.
 
+_FISHER_BY = ["group_type", "drug_or_class", "feature_type"]
 
-def _p1(spark, d):
-    members = matrix.kept_cohort(_meta(spark, d), _features(spark, d)).where("group_type = 'drug' and drug_or_class = 'P1'").select("genome_id", "phenotype")
-    return matrix.encode(_features(spark, d), ("binary",)).where("feature_type <> 'struct'").select("genome_id", "feature_id", "value"), members
+
+def _cohorts(spark, d):
+    """Features as they are tested, and the genomes of each group with each type of feature."""
+    members = matrix.kept_cohort(_meta(spark, d), _features(spark, d)).select("group_type", "drug_or_class", "genome_id", "phenotype")
+    return matrix.encode(_features(spark, d), ("binary",)).select("feature_type", "genome_id", "feature_id", "value"), members
 
 
 _FISHER = ctes("features", more=_rows_sql(None) + """,
-g1 as (select genome_id, phenotype from kept where group_type = 'drug' and drug_or_class = 'P1'),
-tot as (select count(case when phenotype = 'Resistant' then 1 end) as res, count(*) as n from g1),
-f1 as (select f.feature_id, count(case when g.phenotype = 'Resistant' and f.value > 0 then 1 end) as a, count(case when g.phenotype = 'Susceptible' and f.value > 0 then 1 end) as c from features f join g1 g using (genome_id) where f.feature_type <> 'struct' group by f.feature_id),
-tab as (select feature_id, a, res - a as b, c, n - res - c as d from f1, tot),
-xs as (select feature_id, a, b, c, d, unnest(range(greatest(0, a - d), least(a + c, a + b) + 1)) as x from tab),
+g1 as (select group_type, drug_or_class, genome_id, phenotype from kept),
+tot as (select group_type, drug_or_class, count(case when phenotype = 'Resistant' then 1 end) as res, count(*) as n from g1 group by 1, 2),
+f1 as (select g.group_type, g.drug_or_class, f.feature_type, f.feature_id, count(case when g.phenotype = 'Resistant' and f.value > 0 then 1 end) as a, count(case when g.phenotype = 'Susceptible' and f.value > 0 then 1 end) as c from features f join g1 g using (genome_id) group by 1, 2, 3, 4),
+tab as (select group_type, drug_or_class, feature_type, feature_id, a, res - a as b, c, n - res - c as d from f1 join tot using (group_type, drug_or_class)),
+dt as (select distinct a, b, c, d from tab),
+xs as (select a, b, c, d, unnest(range(greatest(0, a - d), least(a + c, a + b) + 1)) as x from dt),
 ps as (select *, exp(lgamma(a+b+1) - lgamma(x+1) - lgamma(a+b-x+1) + lgamma(c+d+1) - lgamma(a+c-x+1) - lgamma(d-a+x+1) - lgamma(a+b+c+d+1) + lgamma(a+c+1) + lgamma(b+d+1)) as p from xs),
-obs as (select feature_id, p as po from ps where x = a),
-tests as (select feature_id, a, b, c, d, least(1.0, sum(case when p <= po * (1 + 1e-7) then p else 0 end)) as p_value from ps join obs using (feature_id) group by all),
-rk as (select *, count(*) over () as n, row_number() over (order by round(p_value, 9), feature_id) as r from tests)""")
+obs as (select a, b, c, d, p as po from ps where x = a),
+pv as (select a, b, c, d, least(1.0, sum(case when p <= po * (1 + 1e-7) then p else 0 end)) as p_value, least(1.0, sum(case when x >= a then p else 0 end)) as p_greater, least(1.0, sum(case when x <= a then p else 0 end)) as p_less from ps join obs using (a, b, c, d) group by all),
+tests as (select t.*, p_value, p_greater, p_less from tab t join pv using (a, b, c, d)),
+rk as (select *, count(*) over w as n, row_number() over (w order by round(p_value, 9), feature_id) as r from tests window w as (partition by group_type, drug_or_class, feature_type))""")
+_FISHER_KEY = "select group_type, drug_or_class, feature_type, feature_id, "
+
 
+def _tests(spark, d, alternative="two.sided"):
+    return stats.fisher_tests(*_cohorts(spark, d), alternative, by=_FISHER_BY)
 
-@query("fisher_counts", _FISHER + "select feature_id, a, b, c, d from tab")
+
+@query("fisher_counts", _FISHER + _FISHER_KEY + "a, b, c, d from tab")
 def fisher_counts(spark, d):
-    return stats.contingency(*_p1(spark, d))
+    return stats.contingency(*_cohorts(spark, d), by=_FISHER_BY)
 
 
-@query("fisher_exact", _FISHER + "select feature_id, round(p_value, 6) as p_value from tests")
+@query("fisher_exact", _FISHER + _FISHER_KEY + "round(p_value, 6) as p_value from tests")
 def fisher_exact(spark, d):
-    return stats.fisher_tests(*_p1(spark, d)).select("feature_id", F.round("p_value", 6).alias("p_value"))
+    return _tests(spark, d).select(*_FISHER_BY, "feature_id", F.round("p_value", 6).alias("p_value"))
+
+
+@query("fisher_greater", _FISHER + _FISHER_KEY + "round(p_greater, 6) as p_value from tests")
+def fisher_greater(spark, d):
+    return _tests(spark, d, "greater").select(*_FISHER_BY, "feature_id", F.round("p_value", 6).alias("p_value"))
+
+
+@query("fisher_less", _FISHER + _FISHER_KEY + "round(p_less, 6) as p_value from tests")
+def fisher_less(spark, d):
+    return _tests(spark, d, "less").select(*_FISHER_BY, "feature_id", F.round("p_value", 6).alias("p_value"))
+
 
+_ADJUSTED = "select *, least(1.0, min(round(p_value, 9) * n / r) over (partition by group_type, drug_or_class, feature_type order by r rows between current row and unbounded following)) as adj from rk"
 
-@query("fisher_bh", _FISHER + "select feature_id, round(adj, 6) as adj_p_value, r <= sum(case when adj <= 0.05 then 1 else 0 end) over () as significant from (select *, least(1.0, min(round(p_value, 9) * n / r) over (order by r rows between current row and unbounded following)) as adj from rk)")
+
+@query("fisher_bh", _FISHER + _FISHER_KEY + f"round(adj, 6) as adj_p_value, r <= sum(case when adj <= 0.05 then 1 else 0 end) over (partition by group_type, drug_or_class, feature_type) as significant from ({_ADJUSTED})")
 def fisher_bh(spark, d):
-    tests = stats.fisher_tests(*_p1(spark, d)).withColumn("p_value", F.round("p_value", 9))
-    return stats.benjamini_hochberg(tests).select("feature_id", F.round("adj_p_value", 6).alias("adj_p_value"), "significant")
+    tests = _tests(spark, d).withColumn("p_value", F.round("p_value", 9))
+    return stats.benjamini_hochberg(tests, by=_FISHER_BY).select(*_FISHER_BY, "feature_id", F.round("adj_p_value", 6).alias("adj_p_value"), "significant")
+
+
+_ALL = "select *, count(*) over () as m, row_number() over (order by round(p_value, 9), group_type, drug_or_class, feature_type, feature_id) as k from tests"
+_ALL_ADJUSTED = f"select *, least(1.0, min(round(p_value, 9) * m / k) over (order by k rows between current row and unbounded following)) as adj from ({_ALL})"
+
+
+@query("fisher_bh_all", _FISHER + _FISHER_KEY + f"round(adj, 6) as adj_p_value, adj <= 0.05 as significant from ({_ALL_ADJUSTED})")
+def fisher_bh_all(spark, d):
+    """One false-discovery control over the tests of all groups together."""
+    tests = _tests(spark, d).withColumn("p_value", F.round("p_value", 9))
+    return stats.benjamini_hochberg(tests).select(*_FISHER_BY, "feature_id", F.round("adj_p_value", 6).alias("adj_p_value"), "significant")
+
+
+_NAMED = "concat_ws('|', group_type, drug_or_class, feature_type, feature_id)"
+
+
+@query("volcano_table", _FISHER + f"select name as feature_id, round(adj, 6) as adj_p_value, round(-log10(adj), 6) as neg_log10, case when place <= 10 then cast(place as int) end as rank, case when place <= 10 then name end as label from (select *, row_number() over (order by adj, name) as place from (select {_NAMED} as name, round(adj, 9) as adj from ({_ALL_ADJUSTED})))")
+def volcano_table(spark, d):
+    tests = _tests(spark, d).withColumn("p_value", F.round("p_value", 9))
+    adjusted = stats.benjamini_hochberg(tests).select(F.expr(_NAMED).alias("feature_id"), F.round("adj_p_value", 9).alias("adj_p_value"))
+    out = views.volcano(adjusted)
+    return out.select("feature_id", F.round("adj_p_value", 6).alias("adj_p_value"), F.round("neg_log10", 6).alias("neg_log10"), F.col("rank").cast("int").alias("rank"), "label")
 
 
-@query("feature_freq", _FISHER + "select feature_id, round(a / (a + b)::double, 6) as freq_resistant, round(c / (c + d)::double, 6) as freq_susceptible from tab")
+@query("feature_freq", _FISHER + _FISHER_KEY + "round(a / (a + b)::double, 6) as freq_resistant, round(c / (c + d)::double, 6) as freq_susceptible from tab")
 def feature_freq(spark, d):
-    return stats.feature_freq(*_p1(spark, d)).select("feature_id", F.round("freq_resistant", 6).alias("freq_resistant"), F.round("freq_susceptible", 6).alias("freq_susceptible"))
+    return stats.feature_freq(*_cohorts(spark, d), by=_FISHER_BY).select(*_FISHER_BY, "feature_id", F.round("freq_resistant", 6).alias("freq_resistant"), F.round("freq_susceptible", 6).alias("freq_susceptible"))
 
 
 # Metrics over the stand-in predictions.
@@ -472,6 +517,31 @@ def top_features_band(spark, d):
     return importance.top_features(_importances(spark, d), _BY, prop_vi_top_feats=(0.0, 0.5)).drop("cum_share")
 
 
+@query(
+    "padded_features",
+    _TOPS.replace("rk as (", f"voc as (select distinct {', '.join(_BY[:3])}, variable from one), jobs as (select distinct {', '.join(_BY)} from one), rk as (", 1).rstrip() + f""",
+best as (select {', '.join(_BY)}, variable, importance, sign from rk where rank <= 40), have as (select {', '.join(_BY)}, count(*) as have from best group by all),
+un as (select j.*, v.variable from jobs j join voc v using ({', '.join(_BY[:3])}) where not exists (select 1 from best b where b.drug_or_class = j.drug_or_class and b.feature_type = j.feature_type and b.feature_subtype = j.feature_subtype and b.seed = j.seed and b.shuffled = j.shuffled and b.variable = v.variable)),
+dr as (select *, row_number() over (partition by {', '.join(_BY)} order by md5(variable || '|7'), variable) as k from un)
+select * from best union all select {', '.join('dr.' + c for c in _BY)}, variable, 0.0, null from dr left join have using ({', '.join(_BY)}) where k <= 40 - coalesce(have, 0)""",
+)
+def padded_features(spark, d):
+    """Forty features of each run: its best, filled up from those that other runs of the drug and type have."""
+    own = _importances(spark, d)
+    best = importance.top_features(own, _BY, n_top_feats=40).drop("rank", "cum_share")
+    known = own.select(*_BY).distinct().join(own.select(*_BY[:3], F.col("variable").alias("feature_id")).distinct(), _BY[:3])
+    return importance.padded(best, known, _BY, 40, 7)
+
+
+_RANKED = "select variable, max(importance) as importance from top_features group by variable"
+
+
+@query("top_variables", ctes("top_features", more=f"v as ({_RANKED}), r as (select variable, floor(importance / 10) * 10 as importance from v)") + "select variable, importance, rank from (select variable, importance, cast(rank() over (order by importance desc) as int) as rank from r) where rank <= 25")
+def top_variables(spark, d):
+    top = relation(spark, d, "top_features").groupBy("variable").agg(F.max("importance").alias("importance"))
+    return views.top_variables(top.withColumn("importance", (F.floor(F.col("importance") / 10) * 10).cast("double")), 25)
+
+
 @query("ife_band", _TOPS + _PICK + "cum > 0.1 and cum < 0.6")
 def ife_band(spark, d):
     return importance.elimination_band(_importances(spark, d), _BY, 0.1, 0.6).drop("cum_share")
@@ -501,6 +571,25 @@ def cross_drug_heatmap(spark, d):
     return views.cross_drug_heatmap(perf.withColumnRenamed("drug_or_class", "drug"), perf, _meta(spark, d))
 
 
+_CELLS = ", ".join(f"any_value(case when test_drug = 'P{i}' then m end) as P{i}" for i in range(1, 6))
+
+
+@query("heatmap_matrix", ctes("perf", "meta_obs", more="cl as (select distinct drug_abbr, class_abbr from meta_obs), h as (select drug_or_class as drug, test_drug, median(mcc) as m from perf where drug_or_class <> test_drug group by 1, 2)") + f"select class_abbr as drug_class, drug, {_CELLS} from h left join cl on drug = drug_abbr group by 1, 2")
+def heatmap_matrix(spark, d):
+    perf = relation(spark, d, "perf").where("drug_or_class <> test_drug").withColumnRenamed("drug_or_class", "drug")
+    heat = views.cross_drug_heatmap(perf, relation(spark, d, "perf").where("false"), _meta(spark, d))
+    wide = views.heatmap_matrix(heat)
+    return wide.select("drug_class", "drug", *[F.col(f"P{i}") if f"P{i}" in wide.columns else F.lit(None).cast("double").alias(f"P{i}") for i in range(1, 6)])
+
+
+@query("baseline_comparison", ctes("perf", "meta_obs", more="""a as (select antibiotic, drug_abbr from meta_obs group by 1, 2), m as (select antibiotic, round(avg(mcc), 6) as model from a join perf on drug_abbr = drug_or_class where not shuffled group by 1),
+b as (select antibiotic, round(avg(mcc), 6) as baseline from a join perf on drug_abbr = drug_or_class where shuffled group by 1)""") + "select coalesce(m.antibiotic, b.antibiotic) as antibiotic, model, baseline from m full join b on m.antibiotic = b.antibiotic")
+def baseline_comparison(spark, d):
+    rows = _meta(spark, d).groupBy("antibiotic", "drug_abbr").agg(F.count("*")).join(relation(spark, d, "perf").withColumnRenamed("drug_or_class", "drug_abbr"), "drug_abbr")
+    one = lambda shuffled: rows.where(F.col("shuffled") == F.lit(shuffled)).groupBy("antibiotic").agg(F.round(F.avg("mcc"), 6).alias("bal_acc"))
+    return views.baseline_comparison(one(False), one(True))
+
+
 _STRAT = "concat('19', cast(90 + k % 4 as string))"
 
 
@@ -599,13 +688,24 @@ def _whole(spark, d, encodings=("binary",)):
     return tables.written(_drug_matrix(spark, d, encodings=encodings).drop("strat_value"), "matrix")
 
 
-@query("split_assignment")
+_DRAWN = "select group_type, drug_or_class, genome_id, phenotype from kept"
+_SPLIT = f"""drawn as ({_DRAWN}), p0 as (select *, (row_number() over (partition by group_type, drug_or_class, phenotype order by md5(genome_id || '|5280'), genome_id) - 0.5) / count(*) over (partition by group_type, drug_or_class, phenotype) as place from drawn),
+p1 as (select * exclude (place), case when place < 0.8 then 'train' else 'test' end as split from p0)"""
+
+
+@query("split_assignment", _with(_rows_sql(None) + ",\n" + _SPLIT) + "select *, case when split = 'train' then cast((row_number() over (partition by group_type, drug_or_class, phenotype, split order by md5(genome_id || '|5281'), genome_id) - 1) % 5 as int) end as fold from p1")
 def split_assignment(spark, d):
     members = matrix.kept_cohort(_meta(spark, d), _features(spark, d)).select("group_type", "drug_or_class", "genome_id", "phenotype")
     return model.split_genomes(members, ["group_type", "drug_or_class"])
 
 
-@query("label_shuffle")
+@query(
+    "label_shuffle",
+    _with(_rows_sql(None) + f""",
+drawn as ({_DRAWN}), own as (select group_type, drug_or_class, genome_id, row_number() over (partition by group_type, drug_or_class order by genome_id) as k from drawn),
+dealt as (select group_type, drug_or_class, phenotype, row_number() over (partition by group_type, drug_or_class order by md5(genome_id || '|5280'), genome_id) as k from drawn)""")
+    + "select group_type, drug_or_class, genome_id, phenotype from own join dealt using (group_type, drug_or_class, k)",
+)
 def label_shuffle(spark, d):
     members = matrix.kept_cohort(_meta(spark, d), _features(spark, d)).select("group_type", "drug_or_class", "genome_id", "phenotype")
     return model.shuffle_labels(members, ["group_type", "drug_or_class"])
@@ -646,5 +746,6 @@ def cross_stratum_models(spark, d):
 
 @query("ife_run")
 def ife_run(spark, d):
-    long = _whole(spark, d).where("group_type = 'drug' and drug_or_class = 'P1' and feature_type = 'protein'").select("genome_id", "feature_id", "value", "phenotype")
-    return runs.iterative_elimination(long, runs.Settings(grid=model.tuning_grid(mixtures=[0.0])), [20, 40, 60])
+    """Ridge models of every job and encoding, with a tenth of the features removed at a time."""
+    long = _whole(spark, d, ("counts", "binary"))
+    return runs.iterative_elimination(long, runs.Settings(grid=model.tuning_grid(mixtures=[0.0])), list(range(10, 100, 10)), by=_JOB)
