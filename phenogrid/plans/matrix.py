@@ -38,13 +38,20 @@ def long_matrix(features: DataFrame, members: DataFrame, group: list[str], targe
     """members: (group..., genome_id, target). Features that don't vary within a group are left out.
 
     Members are the small side and are joined once; the gates have been applied to them before any
-    feature row is read.
+    feature row is read. Which encodings of a feature vary is settled by one aggregate over the rows as they
+    are, and a row is encoded only after all shuffles.
     """
-    by = [*group, "feature_type", "encoding"]
-    rows = encode(features, encodings).join(members, "genome_id")
-    varying = varying_features(rows, by)
-    kept = rows.join(varying, [*by, "feature_id"], "left_semi")
-    return kept.groupBy(*by, "genome_id", "feature_id", target).agg(F.max("value").alias("value")).select(*by, "genome_id", "feature_id", "value", target)
+    by = [*group, "feature_type"]
+    rows = features.join(members, "genome_id")
+    present = F.when(F.col("value") > 0, 1.0).otherwise(0.0)
+    spread = rows.groupBy(*by, "feature_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.min(present).alias("lo_b"), F.max(present).alias("hi_b"))
+    own = {"counts": (F.col("lo") != F.col("hi")) & (F.col("feature_type") != "struct"), "binary": F.col("lo_b") != F.col("hi_b")}
+    wanted = F.array_compact(F.array(*[F.when(own[e], F.lit(e)) for e in encodings]))
+    varying = spread.select(*by, "feature_id", wanted.alias("_encodings")).where(F.size("_encodings") > 0)
+    cells = rows.groupBy(*by, "genome_id", "feature_id", target).agg(F.max("value").alias("value"))
+    coded = cells.join(varying, [*by, "feature_id"]).select(*by, "genome_id", "feature_id", "value", target, F.explode("_encodings").alias("encoding"))
+    value = F.when(F.col("encoding") == "counts", F.col("value").cast("double")).otherwise(present)
+    return coded.select(*by, "encoding", "genome_id", "feature_id", value.alias("value"), target)
 
 
 def drug_matrices(meta: DataFrame, features: DataFrame, stratify_by: str | None = None, n_fold: int | None = 5, split: tuple[float, ...] = (1, 0), encodings: tuple[str, ...] = ("counts", "binary")) -> DataFrame:
