@@ -54,6 +54,11 @@ def mdr_prediction_share(predictions: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("truth", "feature_type")))
 
 
+def class_levels(predictions: DataFrame, truth: str = "truth", estimate: str = "estimate") -> DataFrame:
+    """(class): all classes that occur as true or predicted ones."""
+    return predictions.select(F.explode(F.array(truth, estimate)).alias("class")).where("class is not null").distinct()
+
+
 def shuffle_vs_real(perf: DataFrame) -> DataFrame:
     """What a box plot of real and shuffled runs shows."""
     label = F.when(F.col("shuffled"), "shuffled").otherwise("real").alias("run")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phenogrid.labels import RESISTANT
 from phenogrid.plans.cohort import GROUP, cohort, gate_report, genomes_with_all_features, group_rows
 
 JOB = [*GROUP, "feature_type", "encoding"]
@@ -18,11 +19,17 @@ def encode(features: DataFrame, encodings: tuple[str, ...] = ("counts", "binary"
     return rows.select("feature_type", "genome_id", "feature_id", "e.encoding", "e.value").where("feature_type <> 'struct' or encoding = 'binary'")
 
 
-def kept_cohort(meta: DataFrame, features: DataFrame, stratify_by: str | None = None, n_fold: int | None = 5, split: tuple[float, ...] = (1, 0)) -> DataFrame:
-    """The cohorts of the groups that pass the gates: genomes in every feature table, with phenotypes."""
+def gates(meta: DataFrame, features: DataFrame, stratify_by: str | None = None, n_fold: int | None = 5, split: tuple[float, ...] = (1, 0)) -> tuple[DataFrame, DataFrame]:
+    """(cohorts of all groups: genomes in every feature table, with phenotypes; the gate report of the groups)."""
     rows = group_rows(meta, stratify_by)
     chosen = cohort(rows).join(genomes_with_all_features(features), "genome_id", "left_semi")
-    passed = gate_report(rows, chosen, n_fold, split).where("reason is null").select(*GROUP)
+    return chosen, gate_report(rows, chosen, n_fold, split)
+
+
+def kept_cohort(meta: DataFrame, features: DataFrame, stratify_by: str | None = None, n_fold: int | None = 5, split: tuple[float, ...] = (1, 0)) -> DataFrame:
+    """The cohorts of the groups that pass the gates."""
+    chosen, report = gates(meta, features, stratify_by, n_fold, split)
+    passed = report.where("reason is null").select(*GROUP)
     return chosen.join(passed, GROUP, "left_semi").select(*GROUP, "genome_id", "phenotype")
 
 
@@ -58,6 +65,12 @@ def drug_matrices(meta: DataFrame, features: DataFrame, stratify_by: str | None
     return long_matrix(features, kept_cohort(meta, features, stratify_by, n_fold, split), GROUP, "phenotype", encodings)
 
 
+def class_proportion(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, num_obs, res_prop): genomes of each group, and the share of resistant ones to two places."""
+    share = F.avg(F.when(F.col("phenotype") == RESISTANT, 1.0).otherwise(0.0))
+    return members.groupBy(*by).agg(F.count("*").alias("num_obs"), F.bround(share, 2).alias("res_prop"))
+
+
 def mdr_classes(classes: DataFrame, min_n: int = 25) -> DataFrame:
     """(resistant_classes, n): combinations of at least min_n genomes, but for intermediate ones."""
     counts = classes.select("genome_id", "resistant_classes").distinct().groupBy("resistant_classes").agg(F.count("*").alias("n"))

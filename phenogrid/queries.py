@@ -192,6 +192,29 @@ def matrix_mdr(spark, d):
     return matrix.mdr_matrix(relation(spark, d, "resistant_classes"), _features(spark, d))
 
 
+@query("class_proportion", _SQL["year"] + "select group_type, drug_or_class, strat_value, count(*) as num_obs, round_even(avg(case when phenotype = 'Resistant' then 1.0 else 0.0 end), 2) as res_prop from kept group by 1, 2, 3")
+def class_proportion(spark, d):
+    """The share of resistant genomes in each group that gets a matrix, as reports round it."""
+    return matrix.class_proportion(matrix.kept_cohort(_meta(spark, d), _features(spark, d), "year"), cohort.GROUP)
+
+
+@query(
+    "shared_features",
+    _MATRIX["year"].rstrip() + """,
+fs as (select distinct group_type, drug_or_class, feature_type, encoding, strat_value, feature_id from matrix)
+select a.group_type, a.drug_or_class, a.feature_type, a.encoding, a.strat_value as train_strat, b.strat_value as test_strat, count(*) as n_shared
+from fs a join fs b using (group_type, drug_or_class, feature_type, encoding, feature_id) where a.strat_value < b.strat_value group by all""",
+)
+def shared_features(spark, d):
+    """How many features two strata's matrices have in common: those that a model of one is tested by on the other."""
+    part = _stored(spark, d, "year")
+    by = ["group_type", "drug_or_class", "feature_type", "encoding", "train_strat", "test_strat"]
+    jobs = holdout.cross_stratum_jobs(holdout.members_of(part)).select(*by)
+    features = tables.written(part.select(*by[:4], "strat_value", "feature_id").distinct(), "features")
+    train, test = (features.withColumnRenamed("strat_value", c).join(jobs, [*by[:4], c]) for c in ("train_strat", "test_strat"))
+    return runs.shared_features(train, test, by).groupBy(*by).agg(F.count("*").alias("n_shared"))
+
+
 # Hold-out matrices come as sums for each job and feature, which any wrong row would change.
 _DIGEST = "count(*) as n_rows, count(distinct genome_id) as n_genomes, sum(value) as total, count(case when phenotype = 'Resistant' then 1 end) as n_resistant"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenogrid.functions import codec
-from phenogrid.operators import scoring
+from phenogrid.operators import importance, scoring, views
 from phenogrid.plans import merge, results
 from phenogrid.sources import tables
 from phenogrid.sources.adapter import ctes, relation
@@ -147,3 +147,33 @@ def model_scores(spark, d):
     members = relation(spark, d, "meta_obs").select(F.col("drug_abbr").alias("drug_or_class"), "genome_id").distinct()
     scored = scoring.score(models, members, relation(spark, d, "features"), ["drug_or_class"])
     return scored.select("drug_or_class", "genome_id", "pred_class", F.round("pred_event", 9).alias("pred_event"))
+
+
+# Small parts of reports and runs.
+
+
+@query("tsv_table", ctes("perf") + "select k, drug_or_class, test_drug, feature_type, mcc, case when shuffled then 'true' else 'false' end as shuffled from perf")
+def tsv_table(spark, d):
+    """A table written as tab-separated text and read again by its path."""
+    rows = relation(spark, d, "perf").select("k", "drug_or_class", "test_drug", "feature_type", "mcc", "shuffled")
+    path = f"{tables.shared_path(spark, 'tsv')}/perf.tsv"
+    tables.write_tsv(rows, path, ["k"])
+    return tables.read_table(spark, path).select(F.col("k").cast("long").alias("k"), "drug_or_class", "test_drug", "feature_type", F.col("mcc").cast("double").alias("mcc"), F.col("shuffled").cast("string").alias("shuffled"))
+
+
+@query("pair_keys", ctes("perf") + "select concat(least(drug_or_class, test_drug), '||', greatest(drug_or_class, test_drug)) as pair, count(*) as n, median(mcc) as median_mcc from perf group by 1")
+def pair_keys(spark, d):
+    """Results of drugs tested on one another, whichever was trained on."""
+    return relation(spark, d, "perf").groupBy(codec.pair_key(F.col("drug_or_class"), F.col("test_drug")).alias("pair")).agg(F.count("*").alias("n"), F.median("mcc").alias("median_mcc"))
+
+
+@query("removed_features", ctes("features", "top_features", more="gone as (select variable from top_features where feature_type <> 'domains' group by 1 order by max(importance) desc, variable limit 20)") + "select feature_type, feature_id, count(*) as n, sum(value) as total from features where feature_id not in (select variable from gone) group by 1, 2")
+def removed_features(spark, d):
+    best = relation(spark, d, "top_features").where("feature_type <> 'domains'").groupBy("variable").agg(F.max("importance").alias("importance"))
+    gone = best.orderBy(F.desc("importance"), "variable").limit(20).select(F.col("variable").alias("feature_id"))
+    return importance.remove_features(relation(spark, d, "features"), gone).groupBy("feature_type", "feature_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("class_levels", ctes("predictions") + "select phenotype as class from predictions union select pred_class from predictions")
+def class_levels(spark, d):
+    return views.class_levels(relation(spark, d, "predictions"), "phenotype", "pred_class")

@@ -6,6 +6,7 @@ import json
 import logging
 import re
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +115,6 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     """
     import atexit
     import tempfile
-    import uuid
 
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -167,6 +167,23 @@ def read_parameters(spark: SparkSession, folder: str) -> dict:
     raise FileNotFoundError(f"no ml_parameters.json in {folder} or above")
 
 
+def write_tsv(rows: DataFrame, path: str, order: list[str]) -> None:
+    """A small table, such as a log, as one tab-separated file with a header; it appears under its name when it is complete."""
+    spark = rows.sparkSession
+    folder, _, _ = path.rpartition("/")
+    staged = f"{folder}/_staged-{uuid.uuid4().hex}"
+    rows.orderBy(*order).coalesce(1).write.csv(staged, sep="\t", header=True, emptyValue="")
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        part = next(f for f in _files(spark, staged) if f.rpartition("/")[2].startswith("part-"))
+        fs.delete(jvm.org.apache.hadoop.fs.Path(path), False)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)):
+            raise OSError(f"can't rename to {path}")
+    finally:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+
+
 def read_table(spark: SparkSession, source: DataFrame | str, file: str | None = None) -> DataFrame:
     """A DataFrame as it is; a path as Parquet or, by its ending, tab-separated text; a folder's file."""
     if isinstance(source, DataFrame):
