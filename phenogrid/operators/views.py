@@ -59,6 +59,13 @@ def class_levels(predictions: DataFrame, truth: str = "truth", estimate: str = "
     return predictions.select(F.explode(F.array(truth, estimate)).alias("class")).where("class is not null").distinct()
 
 
+def level_order(rows: DataFrame, level: str, of: Column) -> DataFrame:
+    """(level, by, place): the levels of a figure's axis in ascending order of an aggregate, names breaking ties; one row for each level."""
+    totals = rows.where(F.col(level).isNotNull()).groupBy(level).agg(of.alias("by"))
+    everything = totals.agg(F.array_sort(F.collect_list(F.struct("by", level))).alias("_all"))
+    return totals.crossJoin(F.broadcast(everything)).select(level, "by", F.array_position("_all", F.struct("by", level)).alias("place"))
+
+
 def shuffle_vs_real(perf: DataFrame) -> DataFrame:
     """What a box plot of real and shuffled runs shows."""
     label = F.when(F.col("shuffled"), "shuffled").otherwise("real").alias("run")

@@ -177,3 +177,17 @@ def removed_features(spark, d):
 @query("class_levels", ctes("predictions") + "select phenotype as class from predictions union select pred_class from predictions")
 def class_levels(spark, d):
     return views.class_levels(relation(spark, d, "predictions"), "phenotype", "pred_class")
+
+
+@query("heatmap_classes", ctes("perf", "meta_obs", more="used as (select drug_or_class as drug from perf union select test_drug from perf)") + "select distinct class_abbr as class from used join meta_obs on drug = drug_abbr where class_abbr is not null")
+def heatmap_classes(spark, d):
+    """The classes of either axis of the cross-drug heat map, which share one legend."""
+    perf = relation(spark, d, "perf")
+    heat = views.cross_drug_heatmap(perf.withColumnRenamed("drug_or_class", "drug"), perf, relation(spark, d, "meta_obs"))
+    return views.class_levels(heat, "drug_class", "test_class")
+
+
+@query("drug_order", ctes("meta_obs", more="t as (select antibiotic, count(distinct genome_id) as n from meta_obs group by 1)") + "select antibiotic, n as \"by\", row_number() over (order by n, antibiotic) as place from t")
+def drug_order(spark, d):
+    """The drugs of an axis in order of the genomes tested for them."""
+    return views.level_order(relation(spark, d, "meta_obs"), "antibiotic", F.countDistinct("genome_id"))
