@@ -1,10 +1,12 @@
-"""Exact tests and false-discovery control as column expressions and windows."""
+"""Exact tests and false-discovery control."""
 
 from __future__ import annotations
 
 import math
-from itertools import accumulate
+from bisect import bisect_left
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +17,6 @@ from phenogrid.sources import tables
 ALTERNATIVES = ("two.sided", "greater", "less")
 
 
-def log_gamma(x: Column) -> Column:
-    """log of the gamma function for positive x, by Stirling's series from eight on."""
-    rise = x
-    for i in range(1, 8):
-        rise = rise * (x + i)
-    y = F.when(x < 8, x + 8).otherwise(x)
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return F.when(x < 8, series - F.log(rise)).otherwise(series)
-
-
-#: Up to here log-factorials are looked up in a table that is part of the expression; beyond, a series gives them.
-TABLE_SIZE = 10_000
-
-
-def log_factorials(most: int) -> Column:
-    """An array of the logs of the factorials of 0, 1, ..., summed up one by one."""
-    return F.lit([0.0, *accumulate(math.log(i) for i in range(1, most + 1))])
-
-
 def _with_totals(per: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     return per.join(totals, by) if by else per.crossJoin(F.broadcast(totals))
 
@@ -59,31 +42,53 @@ def contingency(features: DataFrame, genomes: DataFrame, by: list[str] | None =
     return both.select(*by, "feature_id", "a", (F.col("res") - F.col("a") - F.col("odd_r")).alias("b"), "c", (F.col("every") - F.col("res") - F.col("c") - F.col("odd_s")).alias("d"))
 
 
+#: Logs by which a table may be less likely than the seen one and still count in double precision, and the least log that isn't zero.
+_NEGLIGIBLE, _LEAST = 60.0, -745.0
+
+
+def _fisher_one(a: int, b: int, c: int, d: int, alternative: str) -> float:
+    """fisher_p() of one table.
+
+    Chances fall off on both sides of the most likely table faster and faster, so that those left of the first
+    and right of the last table worth counting come to less than a double holds: some forty standard
+    deviations at most are summed up, however large the counts are.
+    """
+    m, n, k = a + b, c + d, a + c
+    lo, hi = max(0, k - n), min(k, m)
+    mode = min(max((m + 1) * (k + 1) // (m + n + 2), lo), hi)
+    log_f = lambda x: math.lgamma(x + 1)
+    weight = lambda x: log_f(x) + log_f(m - x) + log_f(k - x) + log_f(n - k + x)
+    top = weight(mode)
+    floor = max(min(0.0, top - weight(a)), _LEAST) - _NEGLIGIBLE
+    first = bisect_left(range(lo, mode), True, key=lambda x: top - weight(x) >= floor) + lo
+    last = bisect_left(range(mode + 1, hi + 1), True, key=lambda x: top - weight(x) < floor) + mode
+    x = np.arange(first, last, dtype="float64")
+    # Each log is that of the one before and a ratio, which keeps equal chances equal where sums of large logs don't.
+    logs = np.concatenate([[0.0], np.cumsum(np.log((m - x) * (k - x)) - np.log((x + 1) * (n - k + x + 1)))])
+    p = np.exp(logs - logs[mode - first])
+    at = a - first
+    if alternative == "greater":
+        far = p[max(at, 0) :]
+    elif alternative == "less":
+        far = p[: max(at + 1, 0)]
+    else:
+        far = p[logs <= logs[at] + math.log1p(1e-7)] if 0 <= at < len(p) else p[:0]
+    return min(1.0, float(far.sum() / p.sum()))
+
+
 def fisher_p(a: Column, b: Column, c: Column, d: Column, alternative: str = "two.sided", most: int | None = None) -> Column:
     """The p value of Fisher's exact test: of tables with the same margins, those as unlikely or as far out.
 
-    most: the largest total of a table, if it is known; logs of factorials up to it come from one table.
+    most: the largest total of a table; tables of all totals are summed up alike, so it changes nothing.
     """
     if alternative not in ALTERNATIVES:
         raise ValueError(f"alternative must be one of {ALTERNATIVES}")
-    if most is not None and most <= TABLE_SIZE:
-        logs = log_factorials(most)
-        log_f = lambda n: F.element_at(logs, n.cast("int") + 1)
-    else:
-        log_f = lambda n: log_gamma(n.cast("double") + 1.0)
-    m, n, k = a + b, c + d, a + c
-    margins = log_f(m) + log_f(n) + log_f(k) + log_f(b + d) - log_f(m + n)
-    log_p = lambda x: margins - log_f(x) - log_f(m - x) - log_f(k - x) - log_f(n - k + x)
-    lo, hi = F.greatest(F.lit(0).cast("long"), k - n), F.least(k, m)
-    tables_ = F.transform(F.sequence(lo, hi), lambda x: F.struct(x.alias("x"), F.exp(log_p(x)).alias("p")))
-    seen = F.exp(log_p(a))
-    if alternative == "two.sided":
-        far = F.filter(tables_, lambda t: t["p"] <= seen * (1 + 1e-7))
-    elif alternative == "greater":
-        far = F.filter(tables_, lambda t: t["x"] >= a)
-    else:
-        far = F.filter(tables_, lambda t: t["x"] <= a)
-    return F.least(F.lit(1.0), F.aggregate(far, F.lit(0.0), lambda s, t: s + t["p"]))
+
+    def work(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        known = lambda t: all(x is not None and x == x and x >= 0 for x in t)
+        return pd.Series([_fisher_one(*map(int, t), alternative) if known(t) else None for t in zip(a, b, c, d, strict=True)], dtype="float64")
+
+    return F.pandas_udf(work, "double")(a, b, c, d)
 
 
 def fisher_tests(features: DataFrame, genomes: DataFrame, alternative: str = "two.sided", by: list[str] | None = None) -> DataFrame:
@@ -91,8 +96,7 @@ def fisher_tests(features: DataFrame, genomes: DataFrame, alternative: str = "tw
     t = tables.written(contingency(features, genomes, by), "contingency")
     # Tables repeat between features; each is summed up once.
     distinct = t.select("a", "b", "c", "d").distinct()
-    most = t.agg(F.max(F.col("a") + F.col("b") + F.col("c") + F.col("d"))).first()[0] or 0
-    scored = distinct.withColumn("p_value", fisher_p(*[F.col(x) for x in "abcd"], alternative, int(most)))
+    scored = distinct.withColumn("p_value", fisher_p(*[F.col(x) for x in "abcd"], alternative))
     return t.join(scored, ["a", "b", "c", "d"]).select(*(by or []), "feature_id", "a", "b", "c", "d", "p_value")
 
 
