@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from phenogrid.functions import prefix
 from phenogrid.labels import PHENOTYPES, RESISTANT
+from phenogrid.plans import matrix
 from phenogrid.sources import tables
 
 ALTERNATIVES = ("two.sided", "greater", "less")
@@ -21,6 +22,14 @@ def _with_totals(per: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     return per.join(totals, by) if by else per.crossJoin(F.broadcast(totals))
 
 
+def _present(features: DataFrame, genomes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, feature_id, a, c): resistant and susceptible genomes that have a feature, of packed genomes (matrix.packed)."""
+    study = tables.written(matrix.with_jobs(features, genomes), "study")
+    rows = matrix.job_sums(study, F.count(F.when(F.col("value") > 0, 1)).alias("n")).select("feature_type", "feature_id", "n", "_j.*")
+    of = lambda is_r: F.sum(F.when((F.col("phenotype") == RESISTANT) == F.lit(is_r), F.col("n")).otherwise(0))
+    return rows.groupBy(*by, "feature_id").agg(of(True).alias("a"), of(False).alias("c"))
+
+
 def contingency(features: DataFrame, genomes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, feature_id, a, b, c, d): present and absent among resistant, present and absent among susceptible.
 
@@ -31,6 +40,9 @@ def contingency(features: DataFrame, genomes: DataFrame, by: list[str] | None =
     by = by or []
     own = [c for c in by if c in genomes.columns]
     totals = genomes.groupBy(*own).agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.count("*").alias("every"))
+    if "cells" in features.columns:
+        both = _with_totals(_present(features, genomes, by), totals, own)
+        return both.select(*by, "feature_id", "a", (F.col("res") - F.col("a")).alias("b"), "c", (F.col("every") - F.col("res") - F.col("c")).alias("d"))
     rows = features.join(genomes, "genome_id")
     one = lambda phenotype, cond: F.sum(F.when((F.col("phenotype") == RESISTANT) == F.lit(phenotype), F.when(cond, 1)).otherwise(0))
     odd = ~F.col("value").isin(0.0, 1.0)
@@ -121,7 +133,10 @@ def feature_freq(features: DataFrame, genomes: DataFrame, by: list[str] | None =
     by = by or []
     own = [c for c in by if c in genomes.columns]
     totals = genomes.groupBy(*own).agg(F.sum(F.when(F.col("phenotype") == RESISTANT, 1).otherwise(0)).alias("res"), F.sum(F.when(F.col("phenotype") == RESISTANT, 0).otherwise(1)).alias("sus"))
-    per = features.join(genomes, "genome_id").groupBy(*by, "feature_id").agg(*[F.sum(F.when((F.col("phenotype") == p) & (F.col("value") == 1), 1).otherwise(0)).alias(n) for p, n in zip(PHENOTYPES, ("r", "s"), strict=True)])
+    if "cells" in features.columns:
+        per = _present(features, genomes, by).withColumnsRenamed({"a": "r", "c": "s"})
+    else:
+        per = features.join(genomes, "genome_id").groupBy(*by, "feature_id").agg(*[F.sum(F.when((F.col("phenotype") == p) & (F.col("value") == 1), 1).otherwise(0)).alias(n) for p, n in zip(PHENOTYPES, ("r", "s"), strict=True)])
     both = _with_totals(per, totals, own)
     return both.select(*by, "feature_id", F.try_divide("r", "res").alias("freq_resistant"), F.try_divide("s", "sus").alias("freq_susceptible"))
 
