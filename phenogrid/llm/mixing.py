@@ -21,7 +21,7 @@ the names of the result columns are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,9 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenogrid.llm.common import forget, small_batches, table, written
+from phenogrid.llm.common import forget, resident, small_batches, table, written
+from phenogrid.llm.pretokens import PretokenCoder, default_path
 from phenogrid.llm.shingles import word_hashes
-from phenogrid.llm.token_counts import count_tokens
 
 #: Labelled documents of each domain that the classifier learns from, at most (about: they are drawn by a hash).
 LABELLED_PER_DOMAIN = 2500
@@ -131,6 +131,23 @@ def posteriors(docs: DataFrame, weights: np.ndarray | None, classes: int, text_c
     return docs.withColumn(result_col, predict(F.col(text_col).cast("string")))
 
 
+def text_lengths(texts: Iterable[str | None], path: str) -> list[int]:
+    """Tokens of each text; this worker's cache of whole words answers most of them, without taking words apart."""
+    return list(map(resident(("text-lengths", path), lambda: PretokenCoder(path, len, sum)), texts))
+
+
+def with_lengths(docs: DataFrame, text_col: str, path: str | None = None, result_col: str = "n_tokens") -> DataFrame:
+    """docs with the number of tokens of each text."""
+    path = path or default_path()
+
+    @F.pandas_udf("long")
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(text_lengths(texts, path), dtype="int64")
+
+    return docs.withColumn(result_col, count(F.col(text_col).cast("string")))
+
+
 def rate_of(posterior: Column, pulls: list[list[float]], start: Column | float = 1.0) -> Column:
     """The rate after these steps: less, at each, what the document's posterior makes of its pull, never below zero."""
     start = F.lit(start) if isinstance(start, float) else start
@@ -210,7 +227,7 @@ def rate_documents(docs: DataFrame, domains: DataFrame, weights: dict[str, float
     names = list(weights)
     learned = learn_domains(docs, domains, names, id_col, text_col, per_domain)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    scored = count_tokens(posteriors(packed, learned, len(names), "text"), "text")
+    scored = with_lengths(posteriors(packed, learned, len(names), "text"), "text")
     scored = written(scored.select("doc", "id", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("mix.posterior").alias("posterior")), "mix")
     k = len(names)
     if relative:

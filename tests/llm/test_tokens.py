@@ -90,3 +90,18 @@ def test_files_prune_by_id(spark, docs):
     token_files.write_token_files(docs, folder)
     plan = spark.read.schema(token_files.SCHEMA).orc(folder).where("doc_id = 7")._jdf.queryExecution().toString()
     assert "EqualTo(doc_id,7)" in plan
+
+
+def test_mixing_counts_words_that_it_knows_whole(spark, docs, rows, monkeypatch):
+    from phenogrid.llm import mixing, token_counts
+
+    path = default_path()
+    text = "Known words stay known, whatever comes between them."
+    first = mixing.text_lengths([text, None, ""], path)
+    monkeypatch.setattr(PretokenCoder, "pretokens", lambda *_: pytest.fail("a known word was taken apart"))
+    monkeypatch.setattr(PretokenCoder, "_word", lambda *_: pytest.fail("a known word was asked again"))
+    assert mixing.text_lengths([text, None, ""], path) == first == [first[0], 0, 0]
+    monkeypatch.undo()
+    key = ["doc_id", "text"]
+    one, two = (sorted(map(str, f(docs.select(*key), "text").collect())) for f in (mixing.with_lengths, token_counts.count_tokens))
+    assert one == two
