@@ -160,6 +160,7 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
 @F.pandas_udf(T.BinaryType())
 def sparse_features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The places and values of features() that aren't zero, six bytes each."""
+    release()
     for texts in parts:
         out = []
         for t in texts:
@@ -178,6 +179,7 @@ def _dense(packed: pd.Series) -> np.ndarray:
 
 
 def _mean_vector(part: pd.DataFrame) -> pd.DataFrame:
+    release()
     return pd.DataFrame({"lang": [part["lang"].iloc[0]], "mean": [_dense(part["x"]).mean(axis=0).astype(float)]})
 
 

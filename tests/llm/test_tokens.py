@@ -105,3 +105,16 @@ def test_mixing_counts_words_that_it_knows_whole(spark, docs, rows, monkeypatch)
     key = ["doc_id", "text"]
     one, two = (sorted(map(str, f(docs.select(*key), "text").collect())) for f in (mixing.with_lengths, token_counts.count_tokens))
     assert one == two
+
+
+def test_learning_languages_gives_back_what_a_worker_kept():
+    import pandas as pd
+
+    from phenogrid.llm import common, language_id
+
+    common.resident(("some", "cache"), dict)
+    list(language_id.sparse_features.func(iter([pd.Series(["a text"])])))
+    assert not common._resident
+    common.resident(("some", "cache"), dict)
+    language_id._mean_vector(pd.DataFrame({"lang": ["en"], "x": [b""]}))
+    assert not common._resident
