@@ -87,6 +87,11 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, str(rows))
 
 
+def size_in_memory(spark: SparkSession, times: int = 10) -> None:
+    """Let joins reckon with rows that are so many times longer in memory than in files, so that none is broadcast that only its file makes look small."""
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", str(times))
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of a column as text, modulo a number."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenogrid.llm.common import crc_mod, forget, release, small_batches, table, written
+from phenogrid.llm.common import crc_mod, forget, release, size_in_memory, small_batches, table, written
 from phenogrid.llm.shingles import word_hashes
 
 DEPTH = 5
 #: Entries of a broadcast table at most, of 16 bytes each.
-TABLE_ENTRIES = 2_000_000
+TABLE_ENTRIES = 500_000
 END, START = 0xFF, 0xFE
 #: Grams of a group of leaves, about.
 GROUP_GRAMS = 100_000
@@ -368,5 +368,6 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
 
 def op6_lm_score(spark, sf_dir):
     small_batches(spark)
+    size_in_memory(spark)
     docs = table(spark, sf_dir, "documents")
     return score_texts(docs, F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)))

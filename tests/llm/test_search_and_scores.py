@@ -359,3 +359,8 @@ def test_crc_is_of_the_id_as_text(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     got = {r.doc_id for r in df.where(language_id.held_out()).collect()}
     assert got == {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2}
+
+
+def test_tables_of_language_scores_fit_a_small_driver():
+    entries = 2 * lm_score.TABLE_ENTRIES  # of grams and of words
+    assert entries * 16 <= 16 << 20
