@@ -121,6 +121,8 @@ class PretokenCoder:
                 return self.keep([t.id for t in self.tokenize(self.space + word)])
             if word[-1] in ",.;:!?" and word[:-1].isalpha():
                 return self.combine((self.pieces[" " + word[:-1]], self.pieces[word[-1]]))
+            if word.isprintable():  # neither white space nor an added token is in it
+                return self.combine(map(self.pieces.__getitem__, self.findall(" " + word)))
         elif word.isalpha() and _PLAIN.fullmatch(word):
             return self._encode(" " + word)
         if word[0] == _START:

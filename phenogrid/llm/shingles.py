@@ -8,7 +8,8 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ORDER = np.array([(0xBF58476D1CE4E5B9 * (2 * i + 1) ** 3 | 1) & _MASK for i in range(64)], np.uint64)
-_PIECE = 1 << 20
+#: Bytes hashed at once: arrays of eight bytes for each stay in a core's cache, and a worker holds few of them.
+_PIECE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

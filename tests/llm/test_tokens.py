@@ -118,3 +118,16 @@ def test_learning_languages_gives_back_what_a_worker_kept():
     common.resident(("some", "cache"), dict)
     language_id._mean_vector(pd.DataFrame({"lang": ["en"], "x": [b""]}))
     assert not common._resident
+
+
+def test_printable_words_are_looked_up_without_the_general_way(monkeypatch):
+    """Words of printable ASCII are matched at once; counts are the library's."""
+    from phenogrid.llm.pretokens import PretokenCoder, default_path
+
+    coder = PretokenCoder(default_path(), len, sum)
+    texts = ["so a1b2 (x)... don't $5.00 we're 'tis x''s --y__ 3rd ~ \\ a<b", "so e.g. 0x7f'll #1!? [z]'d"]
+    want = [len(coder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert coder("so ") == len(coder.tokenizer.encode("so ", add_special_tokens=False).ids)
+    coder("so")  # a text's first word goes the general way
+    monkeypatch.setattr(coder, "pretokens", lambda text: 1 / 0)
+    assert [coder(t) for t in texts] == want
