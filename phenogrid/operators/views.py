@@ -83,7 +83,9 @@ def volcano(tests: DataFrame, label_top_n: int = 10) -> DataFrame:
     # One row of as many names as get a label.
     place = F.array_position(F.transform(F.array_sort("_rows"), lambda r: r["feature_id"]), F.col("feature_id"))
     ranked = tests.crossJoin(F.broadcast(first)).withColumn("rank", F.when(place > 0, place)).drop("_rows")
-    return ranked.withColumn("neg_log10", -F.log10("adj_p_value")).withColumn("label", F.when(F.col("rank").isNotNull(), F.col("feature_id")))
+    # Spark's log of 0 is null; a p value too small for its digits lies above all others.
+    height = F.when(F.col("adj_p_value") == 0, float("inf")).otherwise(-F.log10("adj_p_value"))
+    return ranked.withColumn("neg_log10", height).withColumn("label", F.when(F.col("rank").isNotNull(), F.col("feature_id")))
 
 
 def top_variables(top: DataFrame, n: int = 10) -> DataFrame:
